@@ -150,7 +150,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     suspects = marked.where("suspect")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    texts = texts.join(suspects.select(F.col("id").alias("of")).distinct(), F.col("id").eqNullSafe(F.col("of")), "left_semi")
+    texts = texts.join(suspects.select(F.col("id").alias("of")).distinct().hint("merge"), F.col("id").eqNullSafe(F.col("of")), "left_semi")
     texts = texts.select(normalized_space(F.col("text")).alias("norm"))
     classes = texts.groupBy(F.xxhash64("norm").alias("fp"), "norm").agg(F.count("*").alias("copies"))
     classes = classes.select("fp", F.unhex(F.sha2("norm", 256)).alias("sha"), "copies")
