@@ -29,11 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Words of a worker's memo before it starts anew.
-MEMO = 300_000
+MEMO = 500_000
 #: Symbols between two looks for stable tokens.
 STEP = 512
 #: Longer pieces between white space pass the memo by.
 MEMO_CHARS = 200
+#: Symbols up to which a word is looked at from its end.
+SHORT = 64
 _SPACES = regex.compile(r"[\t-\r \x85\xa0  -     　]+")
 _NEVER = 1 << 60
 _ODD = regex.compile(r"[\x1c-\x1f]")
@@ -74,6 +76,10 @@ class Bpe:
             elif self.merge(list(token)) == [token]:
                 self.inner.add(token)
         self.longest = max(len(t.removesuffix(self.end)) for t in self.inner | self.final)
+        # the longest token that ends in these two symbols, or in this one; no other start needs a look
+        self.reach: dict[str, int] = {}
+        for t in self.inner:
+            self.reach[t[-2:]] = max(self.reach.get(t[-2:], 1), len(t))
         self.lookahead = len(pairs) * self.longest
         self.pairs: dict[tuple[str, str], bool] = {}
         self.memo = _Memo(self)
@@ -125,7 +131,7 @@ class Bpe:
 
     def transduce(self, pieces: Iterable[str]) -> Iterator[str]:
         """Tokens of one word that comes in pieces, in the byte alphabet, each as soon as it is stable."""
-        inner, final, stay, longest = self.inner, self.final, self.stay, self.longest
+        inner, final, stay, longest, reach, known = self.inner, self.final, self.stay, self.longest, self.reach, self.pairs
         # of the part that is open: its symbols, and for each prefix its last token and where that begins; base is the last token that has left
         held, last, back, base = "", [""], [0], ""
         i, look = 0, STEP
@@ -133,8 +139,8 @@ class Bpe:
             held += piece
             while i < len(held) - 1:  # the word's last symbol is another one, so one is held back
                 i += 1
-                for start in range(max(0, i - longest), i):
-                    if (token := held[start:i]) in inner and (not (before := last[start] or base) or stay(before, token)):
+                for start in range(max(0, i - reach.get(held[i - 2 : i] if i > 1 else held[:1], 1)), i):
+                    if (token := held[start:i]) in inner and (not (before := last[start] or base) or ((ok := known.get((before, token))) is None and stay(before, token)) or ok):
                         last.append(token)
                         back.append(start)
                         break
@@ -170,10 +176,52 @@ class Bpe:
             at = back[at]
         return cut, tokens[::-1]
 
+    def split(self, piece: str) -> list[str]:
+        """The words of normalised text without white space. Letters alone are one word, before one mark two; else the file's pattern decides."""
+        if piece.isalpha():
+            return [piece]
+        if piece[-1] in ",.!?;:" and piece[:-1].isalpha():
+            return [piece[:-1], piece[-1]]
+        return self.words.findall(piece)
+
+    def tokens(self, word: str) -> list[str]:
+        if not (word.isascii() and word.isprintable()):  # printable ASCII stands for itself
+            word = word.encode().decode("latin-1").translate(self.bytes)
+        return self._short(word) if len(word) <= SHORT else list(self.transduce((word,)))
+
+    def _short(self, word: str) -> list[str]:
+        """The transducer for a word that is there whole: from its end, looking only at the prefixes that are asked for."""
+        final, n = self.final, len(word)
+        last: list[str | None] = [""] + [None] * n
+        back = [0] * (n + 1)
+        for start in range(max(0, n - self.longest), n):
+            if (token := word[start:] + self.end) in final and (not start or self.stay(last[start] or self._last(word, last, back, start), token)):
+                break
+        out = [token]
+        while start:
+            out.append(last[start])
+            start = back[start]
+        return out[::-1]
+
+    def _last(self, word: str, last: list[str | None], back: list[int], i: int) -> str:
+        """The last token of the prefix of i symbols."""
+        inner, known = self.inner, self.pairs
+        for start in range(max(0, i - self.reach.get(word[i - 2 : i] if i > 1 else word[:1], 1)), i):
+            if (token := word[start:i]) in inner:
+                if start:
+                    before = last[start] or self._last(word, last, back, start)
+                    if (ok := known.get((before, token))) is None:
+                        ok = self.stay(before, token)
+                    if not ok:
+                        continue
+                last[i], back[i] = token, start
+                return token
+        raise ValueError(f"the vocabulary lacks {word[i - 1]!r}")
+
     def encode_piece(self, piece: str) -> list[int]:
         """Ids of normalised text without white space."""
-        vocab, table = self.vocab, self.bytes
-        return [vocab[t] for w in self.words.findall(piece) for t in self.transduce([w.encode().decode("latin-1").translate(table)])]
+        vocab = self.vocab
+        return [vocab[t] for w in self.split(piece) for t in self.tokens(w)]
 
     def segments(self, text: str) -> Iterator[tuple[str, bool]]:
         """Text between special tokens, and these."""
@@ -209,27 +257,46 @@ class Bpe:
                 ids.append(str(self.special[segment]))
                 decoded.append(segment)
             else:
-                for piece in self.pieces(segment):
-                    a, b = memo[piece]
-                    ids.append(a)
-                    decoded.append(b)
+                found = list(map(memo.__getitem__, self.pieces(segment)))
+                ids += [x for x, _ in found]
+                decoded += [x for _, x in found]
         return " ".join(ids), " ".join(decoded)
 
 
-class _Memo(dict):
-    """Piece to its joined ids and what they decode to."""
+class _Words(dict):
+    """Word to its joined ids and what they decode to."""
 
     def __init__(self, bpe: Bpe):
         self.bpe = bpe
 
-    def __missing__(self, piece: str) -> tuple[str, str]:
-        ids = self.bpe.encode_piece(piece)
-        decoder = Decoder(self.bpe)
-        found = " ".join(map(str, ids)), "".join(map(decoder.push, ids))
-        if len(piece) <= MEMO_CHARS:
+    def __missing__(self, word: str) -> tuple[str, str]:
+        ids = [self.bpe.vocab[t] for t in self.bpe.tokens(word)]
+        found = " ".join(map(str, ids)), Decoder(self.bpe).push_all(ids)
+        if len(word) <= MEMO_CHARS:
             if len(self) >= MEMO:
                 self.clear()
-            self[piece] = found
+            self[word] = found
+        return found
+
+
+class _Memo(dict):
+    """Piece between white space to the same, by its words."""
+
+    def __init__(self, bpe: Bpe):
+        self.bpe, self.words = bpe, _Words(bpe)
+
+    def __missing__(self, piece: str) -> tuple[str, str]:
+        words = self.bpe.split(piece)
+        if len(words) == 1:
+            return self.words[words[0]] if len(piece) > MEMO_CHARS else self._keep(piece, self.words[words[0]])
+        each = list(map(self.words.__getitem__, words))
+        found = " ".join([x for x, _ in each]), " ".join([x for _, x in each])
+        return found if len(piece) > MEMO_CHARS else self._keep(piece, found)
+
+    def _keep(self, piece: str, found: tuple[str, str]) -> tuple[str, str]:
+        if len(self) >= MEMO:
+            self.clear()
+        self[piece] = found
         return found
 
 
@@ -247,6 +314,14 @@ class Decoder:
         self.begun = True
         return out
 
+    def push_all(self, ids: list[int]) -> str:
+        """What the pushes of ids, one by one, give together."""
+        if not ids:
+            return ""
+        out = " ".join(map(self.bpe.text.__getitem__, ids))
+        out, self.begun = f" {out}" if self.begun else out, True
+        return out
+
 
 class ByteDecoder:
     """Ids in, readable text out: the byte alphabet is inverted, word ends become spaces, and bytes wait until their character is whole."""

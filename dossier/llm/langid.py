@@ -1,25 +1,23 @@
 """Language identification with spans.
 
-A word is a run of letters, lower-cased. The script ranges of its letters narrow the languages that may
-have written it: those whose training words use that script in at least MIN_SCRIPT of cases. Each candidate scores
-the word by the log-likelihood of its letter n-grams, up to NGRAM letters with the word's borders. Viterbi
-over a text's words, with a penalty for each switch of language, labels spans. The text's language is the
-one whose spans hold most letters; its score is their share of all letters.
+A word is a run of letters, lower-cased. The script range of its letters narrows the languages that may have
+written it: those whose training words use that script in at least MIN_SCRIPT of cases. Each candidate scores
+the word by the log-likelihood of its letter n-grams, up to three letters with the word's borders, hashed to
+BUCKETS. Viterbi over a text's words, with a penalty for each switch of language, labels spans. The text's
+language is the one whose spans hold most letters; its score is their share of all letters.
 
 A text that is null or has no letter is `und` with score 0, as is every text if nothing was learned.
-Words that no learned script fits count for no language but do not end a span; if a text has only such words, all
-languages are candidates. Of equally long languages the first by code point wins. Rows that repeat are
-judged each; an empty table gives no rows; columns but the text are not looked at.
+Words that no learned script fits speak for no language but do not end a span; if a text has only such
+words, all languages are candidates. Of equally long languages the first by code point wins. Rows that
+repeat are judged each; an empty table gives no rows; columns but the text are not looked at.
 
-Learning: counts of n-grams in at most SAMPLE labelled texts, the ones whose ids hash lowest, whole.
+Learning: counts of n-grams in at most about SAMPLE labelled texts, the ones whose ids hash lowest, whole.
 """
 
 from __future__ import annotations
 
 import pickle
-import re
 import uuid
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,16 +28,12 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-#: Labelled texts that the model is fitted on, at most (about); and n-grams that it keeps, at most.
-SAMPLE, GRAMS = 6_000, 60_000
-NGRAM = 3
-#: Log-likelihood that a switch of language costs.
-SWITCH = 14.0
+#: Labelled texts that the model is fitted on, about, at most; and counts that it keeps, at most.
+SAMPLE, COUNTS = 6_000, 1_000_000
+BUCKETS = 1 << 18
+#: Log-likelihood that a switch of language costs; most that a word can speak for a language against another.
+SWITCH, CLIP = 14.0, 9.0
 MIN_SCRIPT = 0.02
-#: Most that a word can speak for a language against another.
-CLIP = 9.0
-MEMO = 400_000
-_WORDS = re.compile(r"[^\W\d_]+")
 #: First code points of scripts, ascending; what lies between belongs to the script before.
 SCRIPTS = (
     (0x0000, "latin"), (0x0370, "greek"), (0x0400, "cyrillic"), (0x0530, "armenian"), (0x0590, "hebrew"), (0x0600, "arabic"), (0x0700, "other"),
@@ -47,101 +41,110 @@ SCRIPTS = (
     (0x1200, "other"), (0x1E00, "latin"), (0x1F00, "greek"), (0x2000, "other"), (0x2C60, "latin"), (0x2C80, "other"), (0x3040, "kana"), (0x3100, "other"), (0x3400, "han"), (0xA000, "other"),
     (0xAC00, "hangul"), (0xD7B0, "other"), (0xF900, "han"), (0xFB00, "latin"), (0xFB07, "other"), (0x20000, "han"), (0x323B0, "other"),
 )
-_FROM = np.array([x for x, _ in SCRIPTS])
-
-
-def script(word: str) -> str:
-    """The script of most letters, the first of equals."""
-    if word.isascii():
-        return "latin"
-    found = Counter(SCRIPTS[int(np.searchsorted(_FROM, ord(c), "right")) - 1][1] for c in word)
-    return found.most_common(1)[0][0]
-
-
-def grams(word: str) -> list[str]:
-    w = f" {word} "
-    return [w[i : i + n] for n in range(1, NGRAM + 1) for i in range(len(w) - n + 1) if w[i : i + n] != " "]
-
-
-def letters_of(text: str) -> list[str]:
-    return _WORDS.findall(text.lower())
+NAMES = sorted({name for _, name in SCRIPTS})
+_TABLES: list[np.ndarray] = []
+
+
+def _tables() -> list[np.ndarray]:
+    """For every code point whether it is a letter, and its script's place in NAMES."""
+    if not _TABLES:
+        letter = np.frombuffer(bytes(chr(i).isalpha() for i in range(0x110000)), bool)
+        script = np.zeros(0x110000, np.uint8)
+        for first, name in SCRIPTS:
+            script[first:] = NAMES.index(name)
+        _TABLES.extend((letter, script))
+    return _TABLES
+
+
+class Words:
+    """A text's words: where they start and end, their scripts, and for each code point the buckets of the n-grams that end there."""
+
+    def __init__(self, text: str):
+        letter, script = _tables()
+        codes = np.frombuffer(f"  {text.lower()} ".encode("utf-32-le", "replace"), np.uint32)
+        mine = letter[codes]
+        edge = np.flatnonzero(np.diff(mine.view(np.int8)))
+        self.starts, self.ends = edge[0::2] + 1, edge[1::2] + 1
+        if not len(self.starts):
+            return
+        c = np.where(mine, codes, np.uint32(32))
+        shift = np.uint32(32 - BUCKETS.bit_length() + 1)
+        two = c[1:] * np.uint32(0x9E3779B1) + c[:-1] * np.uint32(0x85EBCA77)
+        three = two[1:] + c[:-2] * np.uint32(0xC2B2AE3D)
+        scramble = lambda h, k: (((h + np.uint32(k)) ^ ((h + np.uint32(k)) >> np.uint32(15))) * np.uint32(0x2C1B3C6D)) >> shift
+        self.one, self.two, self.three = scramble(c[2:] * np.uint32(0x27D4EB2F), 1), scramble(two[1:], 2), scramble(three, 3)  # at code point i: [i - 2]
+        kinds = script[codes]
+        self.scripts = kinds[self.starts]
+        # the script of most letters, where they differ
+        differ = np.flatnonzero(np.diff(kinds) & mine[1:] & mine[:-1]) + 1
+        for w in np.unique(np.searchsorted(self.starts, differ, "right") - 1):
+            self.scripts[w] = np.bincount(kinds[self.starts[w] : self.ends[w]]).argmax()
+
+    def rows(self) -> np.ndarray:
+        """Buckets of all n-grams of all words: letters, and pairs and triples with one border."""
+        n = len(self.one)
+        inside = np.zeros(n + 4, np.int8)
+        inside[self.starts] += 1
+        inside[self.ends] -= 1
+        letter = np.cumsum(inside)[2 : n + 2] > 0
+        border = np.zeros(n, bool)
+        border[self.ends - 2] = True
+        first = np.zeros(n, bool)
+        first[self.starts - 2] = True
+        return np.concatenate([self.one[letter], self.two[letter | border], self.three[(letter | border) & ~first]])
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of n-grams and scripts by language within a partition."""
-    words: dict[str, Counter] = {}
+    """Counts of buckets, and below 0 of scripts, by language within a partition."""
+    seen: dict[str, np.ndarray] = {}
     for batch in batches:
         for lang, text in zip(batch["lang"].to_pylist(), batch["text"].to_pylist(), strict=True):
-            words.setdefault(lang, Counter()).update(letters_of(text or ""))
-    for lang, seen in words.items():
-        found: Counter = Counter()
-        for word, n in seen.items():
-            for g in grams(word):
-                found[g] += n
-            found[f"\t{script(word)}"] += n
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found)), pa.array(list(found)), pa.array(list(found.values()), pa.int64())], names=["lang", "gram", "n"])
+            words = Words(text or "")
+            if len(words.starts):
+                own = seen.setdefault(lang, np.zeros(BUCKETS + 256, np.int64))
+                own[:BUCKETS] += np.bincount(words.rows(), minlength=BUCKETS)
+                own[BUCKETS:] += np.bincount(words.scripts, minlength=256)
+    for lang, own in seen.items():
+        at = np.flatnonzero(own)
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(np.where(at < BUCKETS, at, BUCKETS - 1 - at)), pa.array(own[at])], names=["lang", "bucket", "n"])
 
 
 class Model:
-    """Log-likelihoods of n-grams by language, from (lang, gram, n) counts."""
+    """Log-likelihoods of buckets by language, from (lang, bucket, n) counts."""
 
-    def __init__(self, rows: list[tuple[str, str, int]]):
+    def __init__(self, rows: list[tuple[str, int, int]]):
         self.langs = sorted({r[0] for r in rows})
         at = {lang: i for i, lang in enumerate(self.langs)}
-        n = len(self.langs)
-        counts: dict[str, np.ndarray] = {}
-        scripts: dict[str, np.ndarray] = {}
-        for lang, gram, c in rows:
-            table = scripts if gram[0] == "\t" else counts
-            table.setdefault(gram, np.zeros(n))[at[lang]] += c
-        whole = sum(scripts.values(), np.zeros(n))
-        self.candidates = {s[1:]: v / np.maximum(whole, 1) >= MIN_SCRIPT for s, v in scripts.items()}
-        self.gram: dict[str, np.ndarray] = {}
-        for size in range(1, NGRAM + 1):
-            own = {g: v for g, v in counts.items() if len(g) == size}
-            if not own:
-                continue
-            total = sum(own.values(), np.zeros(n))
-            least = np.log(0.5 / (total + 0.5 * len(own)))
-            for g, v in own.items():
-                self.gram[g] = np.log((v + 0.5) / (total + 0.5 * len(own))) - least
-        self.score = _Scores(self)
-
-    def word(self, word: str) -> np.ndarray | None:
-        """Scores against the best language, 0 for that; None if no language writes the script."""
-        allowed = self.candidates.get(script(word))
-        if allowed is None or not allowed.any():
-            return None
-        known = [v for g in grams(word) if (v := self.gram.get(g)) is not None]
-        own = np.sum(known, axis=0) / NGRAM if known else np.zeros(len(self.langs))
-        own = np.where(allowed, own, -np.inf)
-        return np.maximum(own - own.max(), -CLIP)
-
-
-class _Scores(dict):
-    """Word to its row in the table of scores; row 0 is neutral."""
-
-    def __init__(self, model: Model):
-        self.model = model
-        self.table = np.zeros((1024, len(model.langs)))
-        self.n = 1
-
-    def __missing__(self, word: str) -> int:
-        found = self.model.word(word)
-        if found is None:
-            self[word] = 0
-            return 0
-        if self.n == len(self.table):
-            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        self.table[self.n] = found
-        self[word] = self.n
-        self.n += 1
-        return self.n - 1
-
-    def fit_memory(self) -> None:
-        if self.n > MEMO:
-            self.clear()
-            self.n = 1
+        k = len(self.langs)
+        counts, scripts = np.zeros((BUCKETS, k)), np.zeros((256, k))
+        for lang, bucket, c in rows:
+            if bucket >= 0:
+                counts[bucket, at[lang]] = c
+            else:
+                scripts[-1 - bucket, at[lang]] = c
+        used = max(1, int((counts.sum(axis=1) > 0).sum()))
+        table = np.log((counts + 0.5) / (counts.sum(axis=0) + 0.5 * used))
+        table[counts.sum(axis=1) == 0] = 0.0
+        self.table = (table / 3).astype(np.float32)
+        self.allowed = scripts / np.maximum(scripts.sum(axis=0), 1) >= MIN_SCRIPT
+
+    def scores(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
+        """Words x languages, 0 for a word's best language and less for others; and which words speak for any."""
+        each = self.table[words.two]
+        each += self.table[words.three]
+        each += self.table[words.one]
+        # a word's end is a border with no letter of its own, its first letter has no triple
+        each[words.ends - 2] -= self.table[words.one[words.ends - 2]]
+        each[words.starts - 2] -= self.table[words.three[words.starts - 2]]
+        sums = np.concatenate((np.zeros((1, each.shape[1])), np.cumsum(each, axis=0, dtype=np.float64)))
+        own = sums[words.ends - 1] - sums[words.starts - 2]
+        allowed = self.allowed[words.scripts]
+        known = allowed.any(axis=1)
+        if not known.all():
+            allowed[~known] = True
+            own[~known] = 0.0
+        own[~allowed] = -np.inf
+        return np.maximum(own - own.max(axis=1, keepdims=True), -CLIP), known
 
 
 def viterbi(scores: np.ndarray, switch: float) -> np.ndarray:
@@ -179,32 +182,30 @@ def viterbi(scores: np.ndarray, switch: float) -> np.ndarray:
 
 def label(model: Model, text: str | None) -> tuple[str, float, list[tuple[str, int]]]:
     """Language, score and spans (language, letters) of a text."""
-    words = letters_of(text) if text else []
-    if not words or not model.langs:
+    words = Words(text or "")
+    if not len(words.starts) or not model.langs:
         return "und", 0.0, []
-    index = np.fromiter(map(model.score.__getitem__, words), np.int64, len(words))
-    lengths = np.fromiter(map(len, words), np.int64, len(words))
-    path = viterbi(model.score.table[index], SWITCH)
-    weight = lengths * (index > 0)
-    if not weight.any():
-        weight = lengths
+    scores, known = model.scores(words)
+    path = viterbi(scores, SWITCH)
+    weight = words.ends - words.starts
+    if known.any():
+        weight = weight * known
     held = np.bincount(path, weight, len(model.langs))
     best = int(held.argmax())
-    cuts = np.flatnonzero(np.diff(path)) + 1
-    starts = np.concatenate(([0], cuts))
+    starts = np.concatenate(([0], np.flatnonzero(np.diff(path)) + 1))
     sums = np.add.reduceat(weight, starts)
     return model.langs[best], float(held[best] / weight.sum()), [(model.langs[int(path[s])], int(w)) for s, w in zip(starts, sums, strict=True)]
 
 
 def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
-    """Fits a model on labelled rows, a sample of about `sample` texts at most. The driver gets the n-gram counts, GRAMS at most."""
+    """Fits a model on labelled rows, a sample of about `sample` texts at most. The driver gets the buckets' counts, COUNTS at most."""
     draw = F.xxhash64(F.lit(7), F.col(id_col).cast("string")).bitwiseAND(0xFFFFFF)
     known = labelled.where(F.col(lang_col).isNotNull())
     n = known.count()
     part = known.where(draw < max(1, int((1 << 24) * min(1.0, sample / max(n, 1))))).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    counts = part.mapInArrow(_count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    rows = materialize(counts, "grams").orderBy(F.desc("n"), "lang", "gram").limit(GRAMS).collect()
-    return Model([(r["lang"], r["gram"], r["n"]) for r in rows])
+    counts = part.mapInArrow(_count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    rows = materialize(counts, "grams").orderBy(F.col("bucket") >= 0, F.desc("n"), "lang", "bucket").limit(COUNTS).collect()
+    return Model([(r["lang"], r["bucket"], r["n"]) for r in rows])
 
 
 _MODELS: dict[str, Model] = {}
@@ -212,21 +213,17 @@ _MODELS: dict[str, Model] = {}
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """docs with lang_pred, score and spans (array of lang, letters) added; nothing is shuffled. Other columns of these names are replaced."""
-    model.score = None
     raw = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
-    model.score = _Scores(model)
     key = uuid.uuid4().hex
 
     @F.pandas_udf("lang_pred string, score double, spans array<struct<lang:string,letters:long>>")
     def run(texts: pd.Series) -> pd.DataFrame:
         if (own := _MODELS.get(key)) is None:
             own = _MODELS[key] = pickle.loads(raw.value)
-            own.score = _Scores(own)
         out = []
         for text in texts:
             lang, score, spans = label(own, text)
             out.append((lang, score, [{"lang": a, "letters": b} for a, b in spans]))
-            own.score.fit_memory()
         return pd.DataFrame(out, columns=["lang_pred", "score", "spans"])
 
     found = docs.withColumn("__found", run(F.col(text_col)))

@@ -93,7 +93,7 @@ def shingle_sets(texts: list[str | None], width: int) -> list[np.ndarray]:
         if b - a >= width:
             out.append(np.unique(sums[a : b - width + 1]))
         elif b > a:
-            out.append(mix(np.array([(words[a:b] * _PLACE[: b - a]).sum(dtype=np.uint64) + _U(b - a)], np.uint64)))
+            out.append(_one(int((words[a:b] * _PLACE[: b - a]).sum(dtype=np.uint64)) + b - a))
         else:
             out.append(np.zeros(0, np.uint64))
     return out
@@ -112,9 +112,13 @@ def sets_of(batch: pa.RecordBatch, width: int, column: str = "text") -> Iterator
         at = end
 
 
+def _one(value: int) -> np.ndarray:
+    return mix(np.array([value & (1 << 64) - 1], np.uint64))
+
+
 def node_of(members: np.ndarray) -> int:
     """A 64-bit digest of a set, signed. With the set's size it names the node."""
-    return int(mix(np.array([mix(members).sum(dtype=np.uint64) + _U(len(members)) * _PLACE[9]], np.uint64)).view(np.int64)[0])
+    return int(_one(int(mix(members).sum(dtype=np.uint64)) + len(members) * int(_PLACE[9])).view(np.int64)[0])
 
 
 def overlap(a: int, b: int, num: int, den: int) -> int:
@@ -202,10 +206,10 @@ def _keys(width: int, num: int, den: int, limit: int, sketch):
                 if n not in sizes:
                     sizes[n] = [(b, overlap(n, b, num, den)) for b in partners(n, num, den) if min(n, b) <= limit and not (b == n == overlap(n, b, num, den)) and overlap(n, b, num, den) <= min(n, b)]
                 for b, share in sizes[n]:
-                    tag = _U(min(n, b) << 32 | max(n, b)) * _PLACE[11]
+                    tag = (min(n, b) << 32 | max(n, b)) * int(_PLACE[11])
                     for left in itertools.combinations(range(n), n - share):
                         kept = np.delete(members, left) if left else members
-                        out.append((np.array([mix(np.array([mix(kept).sum(dtype=np.uint64) + tag], np.uint64))[0]]), node, n, True))
+                        out.append((_one(int(mix(kept).sum(dtype=np.uint64)) + tag), node, n, True))
                 if n > limit:
                     order = np.lexsort((members, level[(members & _U(COUNTERS - 1)).astype(np.int64)]))
                     out.append((members[order[: prefix(n, num, den)]], node, n, False))
