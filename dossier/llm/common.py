@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -101,3 +102,22 @@ def components(edges: DataFrame) -> DataFrame:
     tied = edges.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "node")
     roots = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return tied.unionByName(roots)
+
+
+#: Bits of a filter of 64-bit hashes: fixed, so that it can be broadcast. What passes it wrongly must be dropped later.
+FILTER = 1 << 24
+
+
+def hash_filter(df: DataFrame, column: str) -> bytes:
+    """The filter of a column of hashes; the driver gets its non-zero words, FILTER / 64 at most."""
+    slot = F.col(column).bitwiseAND(FILTER - 1)
+    words = df.groupBy(F.shiftright(slot, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast({column} & 63 AS int))")).alias("bits")).toArrow()
+    bits = np.zeros(FILTER // 64, np.int64)
+    bits[words["word"].to_numpy()] = words["bits"].to_numpy()
+    return bits.tobytes()
+
+
+def passes(bits: bytes, hashes: np.ndarray) -> np.ndarray:
+    """Which of the uint64 hashes pass the filter."""
+    slot = (hashes & np.uint64(FILTER - 1)).astype(np.int64)
+    return (np.frombuffer(bits, np.uint8)[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1

@@ -244,62 +244,71 @@ def _fits(a: Column, b: Column, num: int, den: int) -> Column:
     return F.least(a, b) * den >= F.greatest(a, b) * num
 
 
-def links(docs: DataFrame, heads: DataFrame, sketch: bytes, width: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """(edges between representatives' ids, nodes (node, n, rep) in lists). docs (id, text), heads (id, n, node)."""
-    spark = docs.sparkSession
-    limit = boundary(num, den)
-    rows = docs.select("text").mapInArrow(_keys(width, num, den, limit, spark.sparkContext.broadcast(sketch)), "key long, node long, n long, sure boolean")
-    nodes = heads.where("n > 0").groupBy("node", "n").agg(F.min("id").alias("rep"))
-    entries = rows.groupBy("key", "sure", "node", "n").agg(F.count("*").alias("c")).drop("c")
-    entries = materialize(entries, "entries")
+def listed_rows(rows: DataFrame) -> DataFrame:
+    """rows (key, node, n, sure) whose list has more than one node, each once, with the list's length m and PIVOTS of its nodes."""
+    entries = materialize(rows.groupBy("key", "sure", "node", "n").agg(F.count("*").alias("c")).drop("c"), "entries")
     draws = [F.min(F.struct(F.xxhash64(F.lit(j), "node"), "node", "n")).alias(f"p{j}") for j in range(PIVOTS)]
     lists = entries.groupBy("key", "sure").agg(F.count("*").alias("m"), *draws).where("m > 1")
-    listed = materialize(entries.join(lists, ["key", "sure"]), "listed")
+    return materialize(entries.join(lists, ["key", "sure"]), "listed")
+
 
-    pair = lambda an, a, bn, b: (F.least(an, bn).alias("a"), F.when(an <= bn, a).otherwise(b).alias("na"), F.greatest(an, bn).alias("b"), F.when(an <= bn, b).otherwise(a).alias("nb"))
-    star = listed.where((F.col("sure")) | (F.col("m") > LONG))
+def linked_nodes(listed: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Edges (a, b) between nodes of common lists whose sets (node, members) reach the similarity; those within components may be left out."""
+    star = listed.where(F.col("sure") | (F.col("m") > LONG))
     pivots = F.explode(F.when(F.col("sure"), F.array("p0")).otherwise(F.array(*[f"p{j}" for j in range(PIVOTS)])))
-    star = star.select("node", "n", pivots.alias("p")).select(*pair(F.col("node"), F.col("n"), F.col("p.node"), F.col("p.n")))
+    star = star.select("node", "n", pivots.alias("p")).select(*_pair(F.col("node"), F.col("n"), F.col("p.node"), F.col("p.n")))
     short = listed.where(~F.col("sure") & (F.col("m") <= LONG)).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("n", "node"))).alias("l"))
     short = short.select("l", F.explode("l").alias("x")).select("x", F.explode(F.filter("l", lambda y: (y > F.col("x")) & (y["n"] * num <= F.col("x.n") * den))).alias("y"))
-    short = short.select(*pair(F.col("x.node"), F.col("x.n"), F.col("y.node"), F.col("y.n")))
+    short = short.select(*_pair(F.col("x.node"), F.col("x.n"), F.col("y.node"), F.col("y.n")))
     first = materialize(star.unionByName(short).where((F.col("a") != F.col("b")) & _fits(F.col("na"), F.col("nb"), num, den)).distinct(), "pairs")
 
-    needed = listed.select("node", "n").distinct()
-    needed = materialize(needed.join(nodes, ["node", "n"]), "needed")
-    texts = docs.join(needed.select(F.col("rep").alias("id"), F.lit(1).alias("one")).distinct().hint("merge"), "id", "left_semi")
-    sets = texts.select("id", "text").mapInArrow(_members(width), "id long, node long, members array<long>")
-    sets = materialize(sets.join(needed.select("node", F.col("rep").alias("id")), ["node", "id"], "left_semi").dropDuplicates(["node"]), "sets")
-
     def verified(pairs: DataFrame) -> DataFrame:
         side = lambda c: sets.select(F.col("node").alias(c), F.col("members").alias(f"s{c}"))
         both = pairs.join(side("a"), "a").join(side("b"), "b")
         shared = F.size(F.array_intersect("sa", "sb"))
-        linked = both.where(shared * den >= (F.size("sa") + F.size("sb") - shared) * num).select("a", "b")
-        rep = lambda c: needed.select(F.col("node").alias(c), F.col("rep").alias(f"r{c}"))
-        return linked.join(rep("a"), "a").join(rep("b"), "b").where("ra IS NOT NULL AND rb IS NOT NULL").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+        return both.where(shared * den >= (F.size("sa") + F.size("sb") - shared) * num).select("a", "b")
 
     edges = materialize(verified(first), "links")
     long = listed.where(~F.col("sure") & (F.col("m") > LONG))
     if not long.isEmpty():
-        edges = edges.unionByName(materialize(verified(_open_pairs(long, needed, edges, num, den, pair)), "links"))
+        edges = edges.unionByName(materialize(verified(_open_pairs(long, edges, num, den)), "links"))
+    return edges
+
+
+def _pair(an: Column, a: Column, bn: Column, b: Column) -> tuple[Column, ...]:
+    return F.least(an, bn).alias("a"), F.when(an <= bn, a).otherwise(b).alias("na"), F.greatest(an, bn).alias("b"), F.when(an <= bn, b).otherwise(a).alias("nb")
+
+
+def links(docs: DataFrame, heads: DataFrame, sketch: bytes, width: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """(edges between representatives' ids, all nodes (node, n, rep)). docs (id, text), heads (id, n, node)."""
+    spark = docs.sparkSession
+    limit = boundary(num, den)
+    rows = docs.select("text").mapInArrow(_keys(width, num, den, limit, spark.sparkContext.broadcast(sketch)), "key long, node long, n long, sure boolean")
+    nodes = heads.where("n > 0").groupBy("node", "n").agg(F.min("id").alias("rep"))
+    listed = listed_rows(rows)
+    needed = materialize(listed.select("node", "n").distinct().join(nodes, ["node", "n"]).where("rep IS NOT NULL"), "needed")
+    texts = docs.join(needed.select(F.col("rep").alias("id")).distinct().hint("merge"), "id", "left_semi")
+    sets = texts.select("id", "text").mapInArrow(_members(width), "id long, node long, members array<long>")
+    sets = materialize(sets.join(needed.select("node", F.col("rep").alias("id")), ["node", "id"], "left_semi").dropDuplicates(["node"]), "sets")
+    rep = lambda c: needed.select(F.col("node").alias(c), F.col("rep").alias(f"r{c}"))
+    edges = linked_nodes(listed, sets, num, den)
+    edges = edges.join(rep("a"), "a").join(rep("b"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
     return edges, nodes
 
 
-def _open_pairs(long: DataFrame, needed: DataFrame, edges: DataFrame, num: int, den: int, pair) -> DataFrame:
+def _open_pairs(long: DataFrame, edges: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs within long lists whose sets are in different components of edges.
 
     A list's largest component is not paired with itself; each set outside it meets the list's other sets.
     """
-    found = components(edges)
-    placed = long.select("key", "node", "n").join(needed, ["node", "n"]).join(found.withColumnRenamed("node", "rep"), "rep", "left")
-    placed = materialize(placed.select("key", "node", "n", F.coalesce("component", "rep").alias("component")), "placed")
+    placed = long.select("key", "node", "n").join(components(edges), "node", "left")
+    placed = materialize(placed.select("key", "node", "n", F.coalesce("component", "node").alias("component")), "placed")
     sizes = placed.groupBy("key", "component").agg(F.count("*").alias("c"))
     largest = sizes.groupBy("key").agg(F.max(F.struct("c", "component"))["component"].alias("most"), F.count("*").alias("k")).where("k > 1").drop("k")
     placed = placed.join(largest, "key")
     outside = placed.where("component != most").select("key", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"))
     met = outside.join(placed.select("key", "node", "n", "component"), "key").where((F.col("cx") != F.col("component")) & _fits(F.col("nx"), F.col("n"), num, den))
-    return materialize(met.select(*pair(F.col("x"), F.col("nx"), F.col("node"), F.col("n"))).distinct(), "pairs")
+    return materialize(met.select(*_pair(F.col("x"), F.col("nx"), F.col("node"), F.col("n"))).distinct(), "pairs")
 
 
 def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, num: int = 85, den: int = 100) -> DataFrame:

@@ -33,13 +33,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, shuffle_partitions
+from .common import hash_filter, materialize, passes, shuffle_partitions
 
 LENGTH, GRAM, BLOCK = 200, 32, 8
 #: Different pieces of an anchor beyond which it is split, and the width in bytes of a split's range of window starts.
 SPLIT, RANGE = 512, 21
-#: Bits of the filter of repeated pieces: fixed, so that it can be broadcast. What passes it wrongly is dropped later.
-FILTER = 1 << 24
 #: Bytes of pieces of one suffix array, about.
 SHARD = 1 << 18
 _U = np.uint64
@@ -243,12 +241,11 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _occurrences(bits):
     def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(doc_id, row, k, piece) for pieces that pass the filter."""
-        known = np.unpackbits(np.frombuffer(bits.value, np.uint8), bitorder="little").astype(bool)
         for batch in batches:
             rows, ks, pieces = [], [], []
             for row, raw, _, firsts, lasts, _ in _read(batch):
                 prints = piece_hashes(raw, firsts, lasts)
-                at = np.flatnonzero(known[(prints & _U(FILTER - 1)).astype(np.int64)])
+                at = np.flatnonzero(passes(bits.value, prints))
                 rows.append(np.full(len(at), row))
                 ks.append(at)
                 pieces.append(prints[at])
@@ -360,11 +357,8 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     status = pieces.join(by_anchor, "anchor").select("piece", (F.col("c") == 1).alias("open"), F.when(F.col("m") > 1, True).otherwise(False).alias("needed"), (F.col("m") > SPLIT).alias("split"))
     status = materialize(status, "status")
 
-    slot = F.col("piece").bitwiseAND(FILTER - 1)
-    words = status.groupBy(F.shiftright(slot, 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(piece & 63 AS int))")).alias("bits")).toArrow()
-    bits = np.zeros(FILTER // 64, np.int64)
-    bits[words["word"].to_numpy()] = words["bits"].to_numpy()
-    found = slim.mapInArrow(_occurrences(spark.sparkContext.broadcast(bits.tobytes())), "doc_id long, row long, k int, piece long").join(status, "piece")
+    bits = hash_filter(status, "piece")
+    found = slim.mapInArrow(_occurrences(spark.sparkContext.broadcast(bits)), "doc_id long, row long, k int, piece long").join(status, "piece")
     flags = found.groupBy("doc_id", "row", "k").agg(F.first(F.struct("piece", "open", "needed", "split")).alias("f"))
     flags = flags.groupBy("doc_id", "row").agg(F.collect_list(F.struct("k", "f.piece", "f.open", "f.needed", "f.split")).alias("flags"))
     flags = materialize(flags.withColumn("some_open", F.exists("flags", lambda f: f["open"])), "flags")
