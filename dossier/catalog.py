@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
+from dossier import plans
+from dossier.plans import claims, extraction, leads, matching, reports  # noqa: F401  each registers its queries
+
+
+def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leads.list_leads_page(spark, sf_dir)
+
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, plans.Query]:
+    return dict(plans.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(plans.SQL)
