@@ -248,8 +248,10 @@ def listed_rows(rows: DataFrame) -> DataFrame:
     """rows (key, node, n, sure) whose list has more than one node, each once, with the list's length m and PIVOTS of its nodes."""
     entries = materialize(rows.groupBy("key", "sure", "node", "n").agg(F.count("*").alias("c")).drop("c"), "entries")
     draws = [F.min(F.struct(F.xxhash64(F.lit(j), "node"), "node", "n")).alias(f"p{j}") for j in range(PIVOTS)]
-    lists = entries.groupBy("key", "sure").agg(F.count("*").alias("m"), *draws).where("m > 1")
-    return materialize(entries.join(lists, ["key", "sure"]), "listed")
+    common = entries.groupBy("key", "sure").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo != hi").select("key", "sure")
+    shared = materialize(entries.join(common, ["key", "sure"], "left_semi"), "shared")
+    lists = shared.groupBy("key", "sure").agg(F.count("*").alias("m"), *draws)
+    return materialize(shared.join(lists, ["key", "sure"]), "listed")
 
 
 def linked_nodes(listed: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
