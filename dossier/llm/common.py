@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -42,6 +43,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/dossier-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     atexit.register(_remove, spark, path)
+    gc.collect()
+    spark._jvm.System.gc()  # Spark's cleaner frees the shuffle files behind the table once nothing holds them
     return spark.read.schema(df.schema).parquet(path)
 
 

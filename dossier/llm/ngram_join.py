@@ -229,13 +229,16 @@ def _rows(out: list[tuple], names: list[str], kinds: tuple) -> pa.RecordBatch:
 
 
 def _members(width: int):
+    """Sets of the texts whose node is the wanted one: an id may come with several texts."""
+
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                found = [m for _, m in sets_of(part, width)]
-                arrays = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(m) for m in found]))), pa.int32()), pa.array(np.concatenate(found).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part["id"], pa.array([node_of(m) for m in found], pa.int64()), arrays], names=["id", "node", "members"])
+                found = [(w, m) for w, (_, m) in zip(part["wanted"].to_pylist(), sets_of(part, width)) if node_of(m) == w]
+                if found:
+                    arrays = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(m) for _, m in found]))), pa.int32()), pa.array(np.concatenate([m for _, m in found]).view(np.int64)))
+                    yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in found], pa.int64()), arrays], names=["node", "members"])
 
     return members
 
@@ -289,9 +292,9 @@ def links(docs: DataFrame, heads: DataFrame, sketch: bytes, width: int, num: int
     nodes = heads.where("n > 0").groupBy("node", "n").agg(F.min("id").alias("rep"))
     listed = listed_rows(rows)
     needed = materialize(listed.select("node", "n").distinct().join(nodes, ["node", "n"]).where("rep IS NOT NULL"), "needed")
-    texts = docs.join(needed.select(F.col("rep").alias("id")).distinct().hint("merge"), "id", "left_semi")
-    sets = texts.select("id", "text").mapInArrow(_members(width), "id long, node long, members array<long>")
-    sets = materialize(sets.join(needed.select("node", F.col("rep").alias("id")), ["node", "id"], "left_semi").dropDuplicates(["node"]), "sets")
+    wanted = needed.select(F.col("rep").alias("id"), F.col("node").alias("wanted")).hint("merge")
+    texts = docs.join(wanted, "id").dropDuplicates(["id", "text", "wanted"])
+    sets = materialize(texts.select("text", "wanted").mapInArrow(_members(width), "node long, members array<long>"), "sets")
     rep = lambda c: needed.select(F.col("node").alias(c), F.col("rep").alias(f"r{c}"))
     edges = linked_nodes(listed, sets, num, den)
     edges = edges.join(rep("a"), "a").join(rep("b"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
