@@ -164,7 +164,7 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     spark = docs.sparkSession
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("row"))
     places = materialize(slim.mapInArrow(_places, "node long, doc_id long, row long, line long"), "places")
-    listed = listed_rows(slim.select("text").mapInArrow(_bands, "key long, node long, n long, sure boolean"))
+    listed = listed_rows(slim.select("text"), _bands)
     bits = spark.sparkContext.broadcast(hash_filter(listed, "node"))
     sets = slim.select("text").mapInArrow(_members(bits), "node long, members array<long>").groupBy("node").agg(F.first("members").alias("members"))
     sets = materialize(sets.join(listed.select("node").distinct(), "node", "left_semi"), "sets")

@@ -35,6 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, materialize
+from .exchange import sharing_rows
 
 #: Rows of an inverted list that cost as much as one row of a subset; sketch counters (16 bit each) in SEGMENTS parts; pivots of a long list.
 VERIFY, COUNTERS, SEGMENTS, LONG, PIVOTS = 8, 1 << 22, 64, 48, 4
@@ -247,9 +248,9 @@ def _fits(a: Column, b: Column, num: int, den: int) -> Column:
     return F.least(a, b) * den >= F.greatest(a, b) * num
 
 
-def listed_rows(rows: DataFrame) -> DataFrame:
-    """rows (key, node, n, sure) whose list has more than one node, each once, with the list's length m and PIVOTS of its nodes."""
-    entries = materialize(rows.groupBy("key", "sure", "node", "n").agg(F.count("*").alias("c")).drop("c"), "entries")
+def listed_rows(source: DataFrame, rows) -> DataFrame:
+    """What `rows` makes of source's batches, (key, node, n, sure), where the list has more than one node, each once, with the list's length m and PIVOTS of its nodes."""
+    entries = materialize(sharing_rows(source, rows).groupBy("key", "sure", "node", "n").agg(F.count("*").alias("c")).drop("c"), "entries")
     draws = [F.min(F.struct(F.xxhash64(F.lit(j), "node"), "node", "n")).alias(f"p{j}") for j in range(PIVOTS)]
     common = entries.groupBy("key", "sure").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo != hi").select("key", "sure")
     shared = materialize(entries.join(common, ["key", "sure"], "left_semi"), "shared")
@@ -288,9 +289,8 @@ def links(docs: DataFrame, heads: DataFrame, sketch: bytes, width: int, num: int
     """(edges between representatives' ids, all nodes (node, n, rep)). docs (id, text), heads (id, n, node)."""
     spark = docs.sparkSession
     limit = boundary(num, den)
-    rows = docs.select("text").mapInArrow(_keys(width, num, den, limit, spark.sparkContext.broadcast(sketch)), "key long, node long, n long, sure boolean")
     nodes = heads.where("n > 0").groupBy("node", "n").agg(F.min("id").alias("rep"))
-    listed = listed_rows(rows)
+    listed = listed_rows(docs.select("text"), _keys(width, num, den, limit, spark.sparkContext.broadcast(sketch)))
     needed = materialize(listed.select("node", "n").distinct().join(nodes, ["node", "n"]).where("rep IS NOT NULL"), "needed")
     wanted = needed.select(F.col("rep").alias("id"), F.col("node").alias("wanted")).hint("merge")
     texts = docs.join(wanted, "id").dropDuplicates(["id", "text", "wanted"])
