@@ -140,23 +140,33 @@ def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), batch["doc_id"].take(take), batch["row"].take(take), pa.array(at, pa.int64())], names=["node", "doc_id", "row", "line"])
 
 
-def _members(bits):
-    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(node, members) of a batch's different lines that pass the filter."""
+def _named(bits):
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(node, members) of a batch's different lines that pass the filter; the line itself stands for its shingles."""
         for batch in batches:
             lines = list(_distinct(batch))
             nodes = np.array([name(x) for x in lines], np.int64)
             known = passes(bits.value, nodes.view(np.uint64)) if len(nodes) else np.zeros(0, bool)
-            nodes, lines = nodes[known], [x for x, k in zip(lines, known, strict=True) if k]
-            at = 0
-            for group in _groups(lines):
-                hashes, begins = shingles(group)
-                sets = [np.unique(hashes[a:b]) for a, b in zip(begins[:-1], begins[1:], strict=True)]
-                arrays = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(x) for x in sets]))), pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(nodes[at : at + len(group)]), arrays], names=["node", "members"])
-                at += len(group)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[known]), pa.array([x for x, k in zip(lines, known, strict=True) if k], pa.string())], names=["node", "members"])
 
-    return members
+    return named
+
+
+def _fitting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of lines whose sets of shingles, as they are, reach the similarity."""
+    for batch in batches:
+        sets: dict[str, set[str]] = {}
+        size, fits = 0, []
+        for a, b in zip(batch["sa"].to_pylist(), batch["sb"].to_pylist(), strict=True):
+            if size > BATCH:
+                sets, size = {}, 0
+            for line in (a, b):
+                if line not in sets:
+                    sets[line] = {line[i : i + SHINGLE] for i in range(max(1, len(line) - SHINGLE + 1))}
+                    size += len(line)
+            shared = len(sets[a] & sets[b])
+            fits.append(shared * DEN >= (len(sets[a]) + len(sets[b]) - shared) * NUM)
+        yield batch.select(["a", "b"]).filter(pa.array(fits, pa.bool_()))
 
 
 def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -166,9 +176,10 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     places = materialize(slim.mapInArrow(_places, "node long, doc_id long, row long, line long"), "places")
     listed = listed_rows(slim.select("text"), _bands)
     bits = spark.sparkContext.broadcast(hash_filter(listed, "node"))
-    sets = slim.select("text").mapInArrow(_members(bits), "node long, members array<long>").groupBy("node").agg(F.first("members").alias("members"))
-    sets = materialize(sets.join(listed.select("node").distinct(), "node", "left_semi"), "sets")
-    found = components(linked_nodes(listed, sets, NUM, DEN))
+    wanted = materialize(listed.select("node").distinct(), "wanted")
+    named = slim.select("text").mapInArrow(_named(bits), "node long, members string")
+    sets = materialize(named.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("members").alias("members")), "sets")
+    found = components(linked_nodes(listed, sets, NUM, DEN, _fitting))
 
     lines = places.where("line >= 0")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line", "row"))

@@ -258,8 +258,11 @@ def listed_rows(source: DataFrame, rows) -> DataFrame:
     return materialize(shared.join(lists, ["key", "sure"]), "listed")
 
 
-def linked_nodes(listed: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Edges (a, b) between nodes of common lists whose sets (node, members) reach the similarity; those within components may be left out."""
+def linked_nodes(listed: DataFrame, sets: DataFrame, num: int, den: int, fitting=None) -> DataFrame:
+    """Edges (a, b) between nodes of common lists whose sets (node, members) reach the similarity; those within components may be left out.
+
+    fitting: takes batches of pairs (a, b, sa, sb), each with both members columns, and gives (a, b) of those that reach it; without it, members are arrays.
+    """
     star = listed.where(F.col("sure") | (F.col("m") > LONG))
     pivots = F.explode(F.when(F.col("sure"), F.array("p0")).otherwise(F.array(*[f"p{j}" for j in range(PIVOTS)])))
     star = star.select("node", "n", pivots.alias("p")).select(*_pair(F.col("node"), F.col("n"), F.col("p.node"), F.col("p.n")))
@@ -270,7 +273,9 @@ def linked_nodes(listed: DataFrame, sets: DataFrame, num: int, den: int) -> Data
 
     def verified(pairs: DataFrame) -> DataFrame:
         side = lambda c: sets.select(F.col("node").alias(c), F.col("members").alias(f"s{c}"))
-        both = pairs.join(side("a"), "a").join(side("b"), "b")
+        both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
+        if fitting:
+            return both.select("a", "b", "sa", "sb").mapInArrow(fitting, "a long, b long")
         shared = F.size(F.array_intersect("sa", "sb"))
         return both.where(shared * den >= (F.size("sa") + F.size("sb") - shared) * num).select("a", "b")
 
