@@ -6,7 +6,8 @@ threshold, which is compared in integers.
 
 Equal sets are one node. Then
 * light: pairs with a set of at most `boundary` members. For each size b that a partner may have, a set of
-  size a lists its subsets of as many members as the two must share; sets that list the same subset link.
+  size a lists its subsets of as many members as the two must share; sets that list the same subset link, but
+  for two of the larger size, which link if they also share a list of their own: each links with the smaller ones.
 * heavy: pairs of larger sets. Each set enters the inverted lists of its first members in one order of all
   members, rare ones first, as many as a linking pair must have one of in common. Lists are scanned for pairs.
 The boundary is the largest size up to which listing subsets costs at most VERIFY times what entering lists
@@ -249,9 +250,12 @@ def _fits(a: Column, b: Column, num: int, den: int) -> Column:
 
 
 def listed_rows(source: DataFrame, rows) -> DataFrame:
-    """What `rows` makes of source's batches, (key, node, n, sure), where the list has more than one node, each once, with the list's length m and PIVOTS of its nodes."""
+    """What `rows` makes of source's batches, (key, node, n, sure), where the list has more than one node, each once, with the list's length m and PIVOTS of its nodes.
+
+    A sure list's pivots are of its smallest size: the sets of that size link with all others, but larger ones need not link with each other.
+    """
     entries = materialize(sharing_rows(source, rows).groupBy("key", "sure", "node", "n").agg(F.count("*").alias("c")).drop("c"), "entries")
-    draws = [F.min(F.struct(F.xxhash64(F.lit(j), "node"), "node", "n")).alias(f"p{j}") for j in range(PIVOTS)]
+    draws = [F.min(F.struct(F.when(F.col("sure"), F.col("n")).alias("size"), F.xxhash64(F.lit(j), "node"), "node", "n")).alias(f"p{j}") for j in range(PIVOTS)]
     common = entries.groupBy("key", "sure").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo != hi").select("key", "sure")
     shared = materialize(entries.join(common, ["key", "sure"], "left_semi"), "shared")
     lists = shared.groupBy("key", "sure").agg(F.count("*").alias("m"), *draws)

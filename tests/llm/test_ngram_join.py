@@ -33,5 +33,18 @@ def test_components_equal_brute_force(spark, docs, rows):
         assert found == _brute(rows, width, num, den)
 
 
+def test_one_short_text_with_longer_ones(spark):
+    """Texts that reach the similarity with a shorter one, but not with each other."""
+    rows = []
+    for k in range(8):
+        base = " ".join(f"w{k}x{i}" for i in range(9))
+        rows += [(100 * k + i, base + (f" more{i}" if i else "")) for i in range(11)]
+        rows += [(100 * k + 50 + i, f"other{i} " + base) for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {tuple(r) for r in ngram_join.joined(docs).collect()}
+    assert found == _brute(rows, 4, 85, 100)
+    assert len({c for _, _, c in found}) == 8
+
+
 def test_empty_table(spark, none):
     assert ngram_join.joined(none).collect() == []
