@@ -1,7 +1,8 @@
 """Main text of web pages: gradient-boosted trees over DOM nodes, decoded over the hierarchy.
 
 A page is parsed into its block elements (inline markup belongs to the block's text; script, style, head and
-the like are skipped; form controls have no text). Each element has features of its tag, the tokens of its
+the like are skipped; form controls have no text). A skipped element ends at its own end tag or where an element
+around it ends; one without an end tag of its own ends at the next block. Each element has features of its tag, the tokens of its
 class, id and role, its depth and siblings, the density of its subtree in text, tags, links and punctuation,
 and what its ancestors are. Boosted trees give the log-odds that it belongs to, or holds, the main text.
 Decoding chooses for all elements at once: a dropped element's descendants are dropped, and of all such
@@ -32,6 +33,8 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SKIPPED = frozenset("script style template noscript svg iframe object canvas math audio video head title select textarea button option datalist".split())
 RAW = frozenset("script style iframe title textarea noscript template svg".split())
+#: Skipped elements that may hold another of their kind; what may stand in a head.
+NESTED, HEAD = frozenset(("object",)), frozenset("base basefont bgsound link meta title style script noscript template noframes object head".split())
 #: Start tags that end an open element of these kinds.
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("thead", "tbody", "tr", "td", "th"), "body": ("head",)}
 P_ENDS = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split())
@@ -75,11 +78,32 @@ def kinds_of(attributes: str) -> frozenset:
     return frozenset(found)
 
 
+def closed_tags(page: str, name: str) -> set[int]:
+    """Places of the start tags of a name that have an end tag of their own."""
+    open_, found = [], set()
+    for m in re.finditer(rf"<(/?){name}(?![a-zA-Z0-9:-])", page, re.I):
+        if m[1]:
+            if open_:
+                found.add(open_.pop())
+        else:
+            if name not in NESTED:
+                open_.clear()
+            open_.append(m.start())
+    return found
+
+
 def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     """Elements, the root first, and text blocks (element, text) in page order."""
     nodes = [Node("html", frozenset(), -1, 0, None)]
     stack, blocks, pending = [0], [], []
-    skipped, links, at, n = 0, 0, 0, len(page)  # depth within skipped elements, within links
+    links, at, n = 0, 0, len(page)  # within a link
+    hidden: list[tuple[str, int, bool]] = []  # open skipped elements: name, elements open around it, whether it has an end tag
+    closed: dict[str, set[int]] = {}
+
+    def leave() -> None:
+        """Skipped elements end with what is around them."""
+        while hidden and len(stack) < hidden[-1][1]:
+            hidden.pop()
 
     def flush() -> None:
         if pending:
@@ -96,7 +120,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     while at < n:
         m = _TAG.search(page, at)
         end = m.start() if m else n
-        if end > at and not skipped:
+        if end > at and not hidden:
             pending.append((html.unescape(page[at:end]), links > 0))
         if not m:
             break
@@ -105,16 +129,26 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
         if not name:
             continue
         name, closing, attributes = name.lower(), m[1] or m[4], m[3] if m[2] else m[6]
+        if hidden and not closing and hidden[-1][0] == "head" and name not in HEAD:
+            hidden.pop()
         if name in RAW and not closing:
             if not attributes.endswith("/"):
                 stop = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
                 at = stop.end() if stop else n
             continue
         if name in SKIPPED:
-            skipped = max(0, skipped + (-1 if closing else 1))
+            names = [x for x, _, _ in hidden]
+            if name in names and (closing or name not in NESTED):
+                del hidden[len(names) - 1 - names[::-1].index(name) :]
+                if name == "select":  # a select within a select is the end of it
+                    continue
+            if not closing:
+                if name not in closed:
+                    closed[name] = closed_tags(page, name)
+                hidden.append((name, len(stack), name == "head" or m.start() in closed[name]))
             continue
         if name == "body" or name == "html":
-            skipped = 0
+            hidden.clear()
             if name == "html":
                 continue
         if name in INLINE:
@@ -134,9 +168,12 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             for i in range(len(stack) - 1, 0, -1):
                 if nodes[stack[i]].tag == name:
                     del stack[i:]
+                    leave()
                     break
             continue
-        if name in P_ENDS and nodes[stack[-1]].tag == "p":
+        while name in P_ENDS and hidden and not hidden[-1][2]:
+            hidden.pop()
+        if name in P_ENDS and nodes[stack[-1]].tag == "p" and not (hidden and len(stack) <= hidden[-1][1]):
             stack.pop()
         for kind in ENDS.get(name, ()):
             for i in range(len(stack) - 1, 0, -1):
@@ -146,6 +183,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
                     break
                 if tag in SCOPES and tag != kind:
                     break
+        leave()
         label = _LABEL.search(attributes) if "data-y" in attributes else None
         node = Node(name, kinds_of(attributes) if attributes else frozenset(), stack[-1], len(stack), int(label[1]) if label else None)
         nodes[stack[-1]].children.append(len(nodes))
