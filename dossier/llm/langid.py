@@ -150,14 +150,16 @@ class Model:
 def viterbi(scores: np.ndarray, switch: float) -> np.ndarray:
     """The labels of the best path through scores (words x languages), each switch costing `switch`.
 
-    First the one label that is best throughout: no segment of any other may gain more than one switch over it;
-    then no path with switches is better. Only otherwise are all paths followed.
+    First the one label that is best throughout: no path with switches is better if no segment of any other gains
+    more than one switch over it, and a segment from the start and one to the end don't either together, as a path
+    without that label has one switch less than segments. Only otherwise are all paths followed.
     """
     n, k = scores.shape
     best = int(scores.sum(axis=0).argmax())
     gain = np.cumsum(scores - scores[:, [best]], axis=0)
-    low = np.minimum(np.minimum.accumulate(gain, axis=0), 0)
-    if ((gain - np.concatenate([np.zeros((1, k)), low[:-1]])).max(axis=0) <= switch).all():
+    low = np.concatenate([np.zeros((1, k)), np.minimum(np.minimum.accumulate(gain[:-1], axis=0), 0)])
+    within = gain - low
+    if within.max() <= switch and gain.max() + within[-1].max() <= switch:
         return np.full(n, best)
     came = np.empty((n, k), np.int32)
     path = [0.0] * k
