@@ -11,7 +11,10 @@ Words that no learned script fits speak for no language but do not end a span; i
 words, all languages are candidates. Of equally long languages the first by code point wins. Rows that
 repeat are judged each; an empty table gives no rows; columns but the text are not looked at.
 
-Learning: counts of n-grams in at most about SAMPLE labelled texts, the ones whose ids hash lowest, whole.
+Learning: counts of n-grams in labelled texts, the ones whose ids hash lowest (of null ids, their texts), whole. Of all
+labelled rows at most about SAMPLE are taken, but of each language about EACH, or all if it has fewer, and one at
+least: every labelled language is learned, from at most about SAMPLE + EACH x languages texts. Rows of the same hash
+go together. Each language keeps its most frequent counts, an equal part of COUNTS.
 """
 
 from __future__ import annotations
@@ -23,13 +26,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
 
-#: Labelled texts that the model is fitted on, about, at most; and counts that it keeps, at most.
-SAMPLE, COUNTS = 6_000, 1_000_000
+#: Labelled texts that the model is fitted on, about, at most; those of each language, about, at least; and counts that it keeps, at most.
+SAMPLE, EACH, COUNTS = 6_000, 200, 1_000_000
 BUCKETS = 1 << 18
 #: Log-likelihood that a switch of language costs; most that a word can speak for a language against another.
 SWITCH, CLIP = 14.0, 9.0
@@ -200,13 +203,20 @@ def label(model: Model, text: str | None) -> tuple[str, float, list[tuple[str, i
 
 
 def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
-    """Fits a model on labelled rows, a sample of about `sample` texts at most. The driver gets the buckets' counts, COUNTS at most."""
-    draw = F.xxhash64(F.lit(7), F.col(id_col).cast("string")).bitwiseAND(0xFFFFFF)
-    known = labelled.where(F.col(lang_col).isNotNull())
-    n = known.count()
-    part = known.where(draw < max(1, int((1 << 24) * min(1.0, sample / max(n, 1))))).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    """Fits a model on labelled rows, a sample of about `sample` texts, and EACH of each language. The driver gets one row for each language and the buckets' counts, COUNTS at most."""
+    key = F.col(id_col).cast("string")
+    draw = F.xxhash64(F.lit(7), key, F.when(key.isNull(), F.col(text_col))).bitwiseAND(0xFFFFFF)
+    known = labelled.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), draw.alias("draw"))
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n"), F.min("draw").alias("first")).collect()
+    if not sizes:
+        return Model([])
+    rate = sample / sum(r["n"] for r in sizes)
+    below = [(r["lang"], max(r["first"] + 1, int((1 << 24) * min(1.0, max(rate, EACH / r["n"]))))) for r in sizes]
+    below = labelled.sparkSession.createDataFrame(below, "lang string, below long")
+    part = known.join(F.broadcast(below), "lang").where("draw < below").select("lang", "text")
     counts = part.mapInArrow(_count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    rows = materialize(counts, "grams").orderBy(F.col("bucket") >= 0, F.desc("n"), "lang", "bucket").limit(COUNTS).collect()
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("bucket") >= 0, F.desc("n"), "bucket"))
+    rows = materialize(counts, "grams").withColumn("place", place).where(F.col("place") <= max(1, COUNTS // len(sizes))).collect()
     return Model([(r["lang"], r["bucket"], r["n"]) for r in rows])
 
 

@@ -24,3 +24,25 @@ def test_viterbi_equals_the_best_of_all_paths():
         switch = float(rng.choice([1.0, 4.0, 9.0, 14.0]))
         most = max(_total(scores, p, switch) for p in itertools.product(range(k), repeat=n))
         assert abs(_total(scores, langid.viterbi(scores, switch).tolist(), switch) - most) < 1e-9, case
+
+
+def test_every_labelled_language_is_learned(spark):
+    rows = [(i, f"the weather was fine on day {i}", "en") for i in range(3000)] + [(9000, "жили были дед и баба", "ru"), (None, "καλημέρα σας", "el")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.learn(docs, sample=20)
+    assert model.langs == ["el", "en", "ru"]
+    assert [langid.label(model, t)[0] for t in ("баба и дед", "σας", "the day")] == ["ru", "el", "en"]
+
+
+def test_no_labels(spark, none):
+    assert langid.learn(none).langs == []
+    assert langid.predict(none).collect() == []
+
+
+def test_first_counts_of_each_language_are_kept(spark, monkeypatch):
+    monkeypatch.setattr(langid, "COUNTS", 60)
+    rows = [(i, " ".join(f"{a}{b}" for a in "abcdefgh" for b in "ijklmn"), "en") for i in range(50)] + [(99, "был", "ru")]
+    model = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert langid.label(model, "был")[0] == "ru"
+    words = langid.Words("был")
+    assert (model.table[words.two][:, 1] > model.table[words.two][:, 0]).any()
