@@ -1,6 +1,6 @@
 """A corpus pipeline of the training-data operators: each stage's result is the next one's documents.
 
-language_id   drops texts without a language, or whose language holds less than half of their letters
+language_id   drops texts without a language, or with less than half of their letters in words that a learned script fits
 exact_dedup   keeps the first of equal texts
 ngram_join    keeps one document of each component of near copies (5-word shingles, similarity 0.8)
 mixing        drops and repeats documents so that sources come to their target weights

@@ -185,21 +185,28 @@ def viterbi(scores: np.ndarray, switch: float) -> np.ndarray:
     return out
 
 
-def label(model: Model, text: str | None) -> tuple[str, float, list[tuple[str, int]]]:
-    """Language, score and spans (language, letters) of a text."""
+def judge(model: Model, text: str | None) -> tuple[str, float, float, list[tuple[str, int]]]:
+    """Language, score, the share of letters in words that a learned script fits, and spans (language, letters) of a text."""
     words = Words(text or "")
     if not len(words.starts) or not model.langs:
-        return "und", 0.0, []
+        return "und", 0.0, 0.0, []
     scores, known = model.scores(words)
     path = viterbi(scores, SWITCH)
     weight = words.ends - words.starts
+    fitting = float(weight[known].sum() / weight.sum())
     if known.any():
         weight = weight * known
     held = np.bincount(path, weight, len(model.langs))
     best = int(held.argmax())
     starts = np.concatenate(([0], np.flatnonzero(np.diff(path)) + 1))
     sums = np.add.reduceat(weight, starts)
-    return model.langs[best], float(held[best] / weight.sum()), [(model.langs[int(path[s])], int(w)) for s, w in zip(starts, sums, strict=True)]
+    return model.langs[best], float(held[best] / weight.sum()), fitting, [(model.langs[int(path[s])], int(w)) for s, w in zip(starts, sums, strict=True)]
+
+
+def label(model: Model, text: str | None) -> tuple[str, float, list[tuple[str, int]]]:
+    """Language, score and spans (language, letters) of a text."""
+    lang, score, _, spans = judge(model, text)
+    return lang, score, spans
 
 
 def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
@@ -223,22 +230,27 @@ def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
 _MODELS: dict[str, Model] = {}
 
 
-def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs with lang_pred, score and spans (array of lang, letters) added; nothing is shuffled. Other columns of these names are replaced."""
+def _judged(docs: DataFrame, model: Model, text_col: str) -> DataFrame:
+    """docs with a struct __found (lang_pred, score, fitting, spans); nothing is shuffled."""
     raw = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
     key = uuid.uuid4().hex
 
-    @F.pandas_udf("lang_pred string, score double, spans array<struct<lang:string,letters:long>>")
+    @F.pandas_udf("lang_pred string, score double, fitting double, spans array<struct<lang:string,letters:long>>")
     def run(texts: pd.Series) -> pd.DataFrame:
         if (own := _MODELS.get(key)) is None:
             own = _MODELS[key] = pickle.loads(raw.value)
         out = []
         for text in texts:
-            lang, score, spans = label(own, text)
-            out.append((lang, score, [{"lang": a, "letters": b} for a, b in spans]))
-        return pd.DataFrame(out, columns=["lang_pred", "score", "spans"])
+            lang, score, fitting, spans = judge(own, text)
+            out.append((lang, score, fitting, [{"lang": a, "letters": b} for a, b in spans]))
+        return pd.DataFrame(out, columns=["lang_pred", "score", "fitting", "spans"])
+
+    return docs.withColumn("__found", run(F.col(text_col)))
 
-    found = docs.withColumn("__found", run(F.col(text_col)))
+
+def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """docs with lang_pred, score and spans (array of lang, letters) added; nothing is shuffled. Other columns of these names are replaced."""
+    found = _judged(docs, model, text_col)
     return found.withColumns({c: F.col(f"__found.{c}") for c in ("lang_pred", "score", "spans")}).drop("__found")
 
 
@@ -253,6 +265,6 @@ def predict(docs: DataFrame) -> DataFrame:
 
 
 def identified_documents(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """docs, all columns, without texts that are `und` or whose language holds less than `least` of the letters."""
-    found = identify(docs, learn(docs.where(~held_out())))
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(*docs.columns)
+    """docs, all columns, without texts that are `und` or have less than `least` of their letters in words that a learned script fits. Texts in several languages stay."""
+    found = _judged(docs, learn(docs.where(~held_out())), "text")
+    return found.where((F.col("__found.lang_pred") != "und") & (F.col("__found.fitting") >= least)).select(*docs.columns)

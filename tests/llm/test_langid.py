@@ -46,3 +46,21 @@ def test_first_counts_of_each_language_are_kept(spark, monkeypatch):
     assert langid.label(model, "был")[0] == "ru"
     words = langid.Words("был")
     assert (model.table[words.two][:, 1] > model.table[words.two][:, 0]).any()
+
+
+def test_mixed_documents_stay(spark):
+    known = {"en": "the weather was fine and we went out", "ru": "жили были дед и баба у самого моря", "el": "καλημέρα σας τι κάνετε σήμερα εσείς"}
+    rows = [(10 * i + k, text, lang, 1.5) for k, (lang, text) in enumerate(known.items()) for i in range(40)]
+    rows += [
+        (9001, " ".join(known.values()), None, 1.5),
+        (9002, "これはまったくちがうもじでかかれたぶんしょう the", None, 1.5),
+        (9003, "123 456", None, 1.5),
+        (9004, None, None, 1.5),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score double")
+    kept = langid.identified_documents(docs)
+    assert kept.columns == docs.columns
+    kept = kept.collect()
+    assert {r["doc_id"] for r in kept} == {r[0] for r in rows} - {9002, 9003, 9004}
+    assert {r["score"] for r in kept} == {1.5}
+    assert langid.label(langid.learn(docs), rows[-4][1])[1] < 0.5
