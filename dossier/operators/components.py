@@ -2,21 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tables import materialize, release
 
-def _cut(frame: DataFrame) -> DataFrame:
-    """Lineage ends in the session's shared checkpoint folder, so that lost executors don't recompute earlier rounds."""
-    context = frame.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        folder = frame.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None:  # one machine only: clusters name theirs
-            import tempfile
-
-            folder = tempfile.mkdtemp(prefix="dossier-")
-        context.setCheckpointDir(folder)
-    return frame.checkpoint()
+#: Links whose forest a task finds at once.
+LINKS = 1 << 18
 
 
 def resolve_roots(edges: DataFrame, rounds: int = 64) -> DataFrame:
@@ -24,32 +19,70 @@ def resolve_roots(edges: DataFrame, rounds: int = 64) -> DataFrame:
 
     A null parent marks a root, as does a parent that is no row. Rows of a cycle raise ValueError.
     """
-    at = _cut(edges.select("id", F.coalesce("parent", "id").alias("root")).dropDuplicates(["id"]))
+    at = materialize(edges.select("id", F.coalesce("parent", "id").alias("root")).dropDuplicates(["id"]), "roots")
     for _ in range(rounds):
         up = at.select(F.col("id").alias("root"), F.col("root").alias("above"))
-        step = _cut(at.join(up, "root", "left").select("id", F.coalesce("above", "root").alias("root"), (F.col("above") != F.col("root")).alias("moved")))
-        at = step.select("id", "root")
-        if not step.where("moved").limit(1).count():
-            return at
+        step = materialize(at.join(up, "root", "left").select("id", F.coalesce("above", "root").alias("root"), (F.col("above") != F.col("root")).alias("moved")), "roots")
+        release(at)
+        at = step
+        if at.where("moved").isEmpty():
+            return at.select("id", "root")
     raise ValueError("the links hold a cycle")
 
 
-def components(links: DataFrame, rounds: int = 64) -> DataFrame:
-    """(id, root) of every id in the links (a, b): root is the smallest id reachable. Large-star and small-star rounds."""
-    both = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    ids = links.select(F.col("a").alias("id")).union(links.select("b")).distinct()
-    edges = _cut(both)
-    for _ in range(rounds):
-        near = edges.union(edges.select("b", "a"))
-        least = near.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = near.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        down = large.where("a > b")
-        small_least = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(small_least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(small_least.select("a", F.col("m").alias("b")))
-        new = _cut(small.where("a <> b").distinct())
-        if not new.exceptAll(edges).limit(1).count() and not edges.exceptAll(new).limit(1).count():
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of up to LINKS links at a time, one for each node to the smallest that it reaches by them."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        top = x
+        while (up := root.get(top, top)) != top:
+            top = up
+        while x != top:
+            root[x], x = top, root.get(x, x)
+        return top
+
+    def done() -> pa.RecordBatch:
+        nodes = [x for x in root if find(x) != x]
+        return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([find(x) for x in nodes], pa.int64())], names=["a", "b"])
+
+    for batch in batches:
+        for a, b in zip(batch["a"].to_pylist(), batch["b"].to_pylist(), strict=True):
+            low, high = sorted((find(a), find(b)))
+            root.setdefault(low, low)
+            root[high] = low
+        if len(root) >= LINKS:
+            yield done()
+            root.clear()
+    if root:
+        yield done()
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(id, root) of every id of the links (a, b: long); root is the smallest id reachable.
+
+    Distributed union-find: first each partition's links become a forest, then large-star and small-star passes
+    alternate. A pass is a minimum per node, combined before its shuffle, and an equi-join whose hot keys the
+    adaptive planner splits, so a hub's neighbours never meet in one task. A round is one table in the shared
+    folder; the driver sees one checksum of it. No links, no rows.
+    """
+    own = links.where("a <> b").select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
+    edges = materialize(own.mapInArrow(_forest, "a long, b long").distinct(), "edges")
+    seen = None
+    while True:
+        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if now == seen or not now[0]:
             break
+        seen = now
+        # large-star: what lies above a node is tied to the least of its neighbourhood
+        near = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = near.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
+        large = edges.select(F.col("b").alias("u"), "a").join(least, "u").select("a", F.col("m").alias("b")).where("a <> b").distinct()
+        # small-star: what lies below a node is tied to the least below it
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
+        new = materialize(small.where("a <> b").distinct(), "edges")
+        release(edges)
         edges = new
-    else:
-        raise ValueError("the components did not settle")
-    return ids.join(edges.select(F.col("a").alias("id"), F.col("b").alias("root")), "id", "left").select("id", F.coalesce("root", "id").alias("root"))
+    one = lambda frame, id_: frame.select(F.col(id_).cast("long").alias("id"), F.col("b").cast("long").alias("root"))
+    return one(edges, "a").unionByName(one(edges, "b")).unionByName(one(links.where("a = b"), "a")).groupBy("id").agg(F.min("root").alias("root"))
