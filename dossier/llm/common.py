@@ -2,56 +2,36 @@
 
 from __future__ import annotations
 
-import atexit
-import gc
-import tempfile
-import uuid
+from collections.abc import Iterable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.tables import materialize, release
+
+__all__ = ["SPACE", "WORD", "free_names", "hash_filter", "materialize", "normalized_space", "ordinal", "passes", "release", "shuffle_partitions"]
+
 #: The white space that the operators' contracts mean, as a regular expression class.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which all executors share; one of our own only where it is unset (local runs, tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = tempfile.mkdtemp(prefix="dossier-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
-    except Exception:  # the session may have ended; the shared folder's owner clears the rest
-        pass
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Cuts the lineage: writes df as a table in the shared folder and reads it back.
-
-    Any executor can be lost afterwards. The table goes when the driver's Python ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/dossier-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_remove, spark, path)
-    gc.collect()
-    spark._jvm.System.gc()  # Spark's cleaner frees the shuffle files behind the table once nothing holds them
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def free_names(columns: Iterable[str], *names: str) -> list[str]:
+    """The names, each with underscores before it until no column is called so, upper and lower case being the same."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def normalized_space(text: Column) -> Column:
     """Each run of white space becomes one space. Single spaces already are what they become, so the pattern passes them by."""
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+", " ")
@@ -77,36 +57,6 @@ def ordinal(df: DataFrame, column: str, name: str) -> DataFrame:
     return local.withColumn(name, F.col("__local") + F.element_at(offsets, F.col("__range"))).drop("__range", "__local")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """Connected components of edges (a, b: long): rows (node, component), component being the smallest node reached.
-
-    Distributed union-find by alternating large-star and small-star passes. Each pass is a minimum
-    per node, combined before its shuffle, and an equi-join whose hot keys the adaptive planner splits,
-    so a hub's neighbours never meet in one task. Each pass's edges are written to the shared folder.
-    The driver sees one checksum for each pass. Nodes without an edge are not returned; no edges, no rows.
-    """
-    edges = materialize(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    seen = None
-    while True:
-        # large-star: what lies above a node is tied to the least of its neighbourhood
-        both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = edges.select(F.col("b").alias("u"), F.col("a").alias("v")).join(least.withColumnRenamed("a", "u"), "u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
-        large = materialize(large, "large")
-        # small-star: what lies below a node is tied to the least below it
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a")
-        edges = small.select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).where("a != b").distinct()
-        edges = materialize(edges, "small")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == seen:
-            break
-        seen = now
-    tied = edges.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "node")
-    roots = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-    return tied.unionByName(roots)
-
-
 #: Bits of a filter of 64-bit hashes: fixed, so that it can be broadcast. What passes it wrongly must be dropped later.
 FILTER = 1 << 24
 

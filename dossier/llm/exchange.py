@@ -1,6 +1,7 @@
 """Which rows of inverted lists share a key with another row, by an exchange of key hashes.
 
-1. Each partition packs its rows (key, node, n, sure) in chunks ("senders"), sorted and each row once. These are kept.
+1. Each partition packs its rows (key, node, n, sure, pos) in chunks ("senders"), sorted and each row once. These are kept; a
+   row has its node by its place among the chunk's nodes.
 2. A sender sends each owner (a range of key hashes) the low 32 bits of its different hashes, sorted.
 3. An owner returns each sender a bitmap over what that one sent: which hashes another sender sent too.
 4. A sender lets go the rows whose hash is marked, or that share their key within the chunk.
@@ -21,11 +22,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, shuffle_partitions
+from .common import materialize, release, shuffle_partitions
 
 #: Rows of a sender, and hashes that an owner looks at together, on average at most.
 CHUNK, OWNED = 1 << 17, 1 << 22
-ROWS = "key long, node long, n long, sure boolean"
+#: Rows whose bitmaps, one bit each, are broadcast; beyond, the chunks are shuffled to meet them.
+REPLIES = 1 << 27
+ROWS = "key long, node long, n long, sure boolean, pos int"
 _U = np.uint64
 
 
@@ -39,14 +42,15 @@ def _hashes(keys: np.ndarray, sure: np.ndarray) -> np.ndarray:
 def _chunk(sender: int, held: list[pa.RecordBatch]) -> pa.RecordBatch:
     table = pa.Table.from_batches(held)
     key, node, n = (table[c].to_numpy().astype(np.int64) for c in ("key", "node", "n"))
-    sure = table["sure"].to_numpy().astype(bool)
+    sure, pos = table["sure"].to_numpy().astype(bool), table["pos"].to_numpy().astype(np.int32)
+    nodes, first, who = np.unique(node, return_index=True, return_inverse=True)
     h = _hashes(key, sure)
-    order = np.lexsort((node, key, h))
-    key, node, n, sure, h = key[order], node[order], n[order], sure[order], h[order]
+    order = np.lexsort((who, h))
+    key, who, sure, pos, h = key[order], who[order], sure[order], pos[order], h[order]
     new = np.ones(len(key), bool)
-    new[1:] = (h[1:] != h[:-1]) | (key[1:] != key[:-1]) | (node[1:] != node[:-1]) | (n[1:] != n[:-1]) | (sure[1:] != sure[:-1])
-    columns = [pa.array([x[new].tobytes()], pa.binary()) for x in (key, node, n, sure)]
-    return pa.RecordBatch.from_arrays([pa.array([sender], pa.int64()), pa.array([int(new.sum())], pa.int64()), *columns], names=["sender", "size", "key", "node", "n", "sure"])
+    new[1:] = (h[1:] != h[:-1]) | (key[1:] != key[:-1]) | (who[1:] != who[:-1]) | (sure[1:] != sure[:-1])
+    columns = [pa.array([x.tobytes()], pa.binary()) for x in (key[new], who[new].astype(np.int32), sure[new], pos[new], nodes, n[first])]
+    return pa.RecordBatch.from_arrays([pa.array([sender], pa.int64()), pa.array([int(new.sum())], pa.int64()), *columns], names=["sender", "size", "key", "who", "sure", "pos", "node", "n"])
 
 
 def _pack(rows: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
@@ -101,21 +105,28 @@ def _mark(table: pa.Table) -> pa.Table:
 def _let_go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(batch.num_rows):
-            key, node, n, sure = (batch[c][i].as_py() for c in ("key", "node", "n", "sure"))
+            key, sure = batch["key"][i].as_py(), batch["sure"][i].as_py()
+            who, pos, node, n = (np.frombuffer(batch[c][i].as_py(), t) for c, t in (("who", np.int32), ("pos", np.int32), ("node", np.int64), ("n", np.int64)))
             _, of = _different(key, sure)
             replies = sorted(batch["replies"][i].as_py(), key=lambda r: r["owner"])
             marked = np.concatenate([np.unpackbits(np.frombuffer(r["bits"], np.uint8))[: r["n_sent"]] for r in replies]).astype(bool)
             go = (marked | (np.bincount(of) > 1))[of]
-            columns = [pa.array(np.frombuffer(x, t)[go]) for x, t in ((key, np.int64), (node, np.int64), (n, np.int64), (sure, bool))]
-            yield pa.RecordBatch.from_arrays(columns, names=["key", "node", "n", "sure"])
+            columns = [np.frombuffer(key, np.int64)[go], node[who[go]], n[who[go]], np.frombuffer(sure, bool)[go], pos[go]]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["key", "node", "n", "sure", "pos"])
 
 
 def sharing_rows(source: DataFrame, rows: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
-    """Of what `rows` makes of source's batches, (key, node, n, sure), those that may share (key, sure) with another row. May repeat."""
-    packed = materialize(source.mapInArrow(_pack(rows), "sender long, size long, key binary, node binary, n binary, sure binary"), "packed")
+    """Of what `rows` makes of source's batches, (key, node, n, sure, pos), those that may share (key, sure) with another row, each once.
+
+    A node has one n, and one pos with a key.
+    """
+    packed = materialize(source.mapInArrow(_pack(rows), "sender long, size long, key binary, who binary, sure binary, pos binary, node binary, n binary"), "packed")
     total = packed.agg(F.sum("size")).first()[0] or 0
     owners = max(1, min(shuffle_partitions(source.sparkSession), math.ceil(total / 1024)), math.ceil(total / OWNED))
     messages = packed.select("sender", "key", "sure").mapInArrow(_send(owners), "owner long, sender long, sent binary")
     replies = messages.groupBy("owner").applyInArrow(_mark, "sender long, owner long, n_sent int, bits binary")
     replies = materialize(replies.groupBy("sender").agg(F.collect_list(F.struct("owner", "n_sent", "bits")).alias("replies")), "replies")
-    return packed.join(replies.hint("merge"), "sender").mapInArrow(_let_go, ROWS)
+    rows = packed.drop("size").join(replies.hint("broadcast" if total <= REPLIES else "merge"), "sender").mapInArrow(_let_go, ROWS)
+    out = materialize(rows.groupBy("key", "sure", "node").agg(F.min("n").alias("n"), F.min("pos").alias("pos")), "entries")
+    release(packed, replies)
+    return out

@@ -1,17 +1,20 @@
 """Fuzzy line dedup by MinHash.
 
 Lines are what \\n separates, trimmed of [\\x20\\x09-\\x0D]; blank ones are no lines and always stay. Lines that are
-equal are one node. A node's shingles are its runs of SHINGLE code points (all of a shorter line). Its MinHash
-signature, BANDS of ROWS values, puts it on a list for each band: two lines of similarity 0.8 share one with
-probability 0.998. Pairs on common lists are verified by their exact Jaccard similarity, NUM / DEN or more; long lists
-are treated as in ngram_join. Distributed union-find gives components, of which the first line by doc_id (null
-last) and place stays.
-
-Lines of up to DIRECT shingles get a value from each hash function; of longer ones the shingles are
-split into as many bins by one hash, and an empty bin takes the value of the next filled one.
-
-A null text has no lines. Rows that repeat are documents of their own, but equal rows of one id get the
-same result, that of the first. An empty table gives no rows. Other columns are not looked at.
+equal are one node. A node's shingles are its runs of SHINGLE code points (all of a shorter line), as 64-bit hashes. Its
+MinHash signature, BANDS of ROWS minima, of which each function gives one at every length, puts it on a list for each
+band: two lines of similarity 0.8 share one with probability 0.998. Pairs on common lists are verified by their exact
+Jaccard similarity, NUM / DEN or more.
+
+Lists of up to LONG lines (ngram_join) give their pairs. Of longer ones the pairs with a few pivots are looked at first.
+Lines of a long list that aren't yet in one component enter narrower lists, one for each of their first shingles in one
+order of all shingles, rare ones first: linking lines have one of these in common, and the places that it has in both
+bound their sizes. So no list is compared all with all.
+Distributed union-find gives components, of which the first line by doc_id (null last) and place stays.
+
+A null text has no lines. Very long texts and lines are taken whole. Rows that repeat are documents of their own, but
+equal rows of one id get the same result, that of the first; rows of one id with other texts have their own. An empty
+table gives no rows. Other columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,18 +27,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, hash_filter, materialize, passes
-from .ngram_join import linked_nodes, listed_rows, mix
+from ..operators.components import components
+from .common import free_names, hash_filter, materialize, passes, release
+from .ngram_join import Counts, bounded, first_members, linked_nodes, list_rows, listed_rows, mix, summed
 
 SHINGLE, NUM, DEN = 8, 80, 100
-BANDS, ROWS, DIRECT = 12, 4, 128
-VALUES = BANDS * ROWS
-_U = np.uint64
+BANDS, ROWS = 16, 5
+_U, _V = np.uint64, np.uint32
 _RNG = np.random.default_rng(11)
-_TURNS = _RNG.integers(1, 1 << 63, VALUES, dtype=np.uint64) | _U(1)
+_TURNS = _RNG.integers(1, 1 << 32, BANDS * ROWS, dtype=np.uint32) | _V(1)
+_PLACES = _RNG.integers(1, 1 << 63, ROWS, dtype=np.uint64) | _U(1)
 _WHITE = " \t\n\x0b\x0c\r"
 #: Code points whose shingles are hashed at once.
-BATCH = 1 << 20
+BATCH = 1 << 16
 
 
 def lines_of(text: str | None) -> list[str]:
@@ -67,30 +71,23 @@ def shingles(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(hashes: np.ndarray, begins: np.ndarray) -> np.ndarray:
-    """lines x VALUES."""
-    n, counts = len(begins) - 1, np.diff(begins)
-    out = np.full((n, VALUES), _U(0xFFFFFFFFFFFFFFFF))
-    line = np.repeat(np.arange(n), counts)
-    few = counts <= DIRECT
-    if few.any():
-        own = hashes[few[line]]
-        starts = np.concatenate(([0], np.cumsum(counts[few])[:-1]))
-        for j, turn in enumerate(_TURNS):
-            v = own * turn
-            out[few, j] = np.minimum.reduceat(v ^ (v >> _U(32)), starts)
-    if not few.all():
-        own, at = hashes[~few[line]], line[~few[line]]
-        flat = out.reshape(-1)
-        np.minimum.at(flat, at * VALUES + (own % _U(VALUES)).astype(np.int64), own // _U(VALUES))
-        rows = np.flatnonzero(~few)
-        part = out[rows]
-        for _ in range(VALUES):
-            empty = part == _U(0xFFFFFFFFFFFFFFFF)
-            if not empty.any():
-                break
-            part = np.where(empty, np.roll(part, -1, axis=1) + _U(0x9E37) * (np.roll(part, -1, axis=1) != _U(0xFFFFFFFFFFFFFFFF)), part)
-        out[rows] = part
-    return out
+    """lines x (BANDS * ROWS): of each function, the least value of a line's shingles."""
+    own = (hashes >> _U(32)).astype(np.uint32)
+    out = np.empty((len(_TURNS), len(begins) - 1), np.uint32)
+    for j, turn in enumerate(_TURNS):
+        out[j] = np.minimum.reduceat(own * turn, begins[:-1])
+    return out.T
+
+
+def line_sets(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Shingles and their begins, as `shingles`; and each line's different ones, ascending, with their begins."""
+    hashes, begins = shingles(lines)
+    line = np.repeat(np.arange(len(lines)), np.diff(begins))
+    order = np.lexsort((hashes, line))
+    members, line = hashes[order], line[order]
+    new = np.ones(len(members), bool)
+    new[1:] = (members[1:] != members[:-1]) | (line[1:] != line[:-1])
+    return hashes, begins, members[new], np.concatenate(([0], np.cumsum(np.bincount(line[new], minlength=len(lines)))))
 
 
 def _distinct(batch: pa.RecordBatch) -> dict[str, None]:
@@ -109,22 +106,40 @@ def _groups(lines: list[str]) -> Iterator[list[str]]:
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, node, n, sure) of a batch's different lines; n is not used."""
-    places = _RNG_BANDS
+    """(key, node, n, sure, pos) of a batch's different lines; n is the number of different shingles."""
     for batch in batches:
         for lines in _groups(list(_distinct(batch))):
-            nodes = np.array([name(x) for x in lines], np.int64)
-            values = signatures(*shingles(lines)).reshape(len(lines), BANDS, ROWS)
+            hashes, begins, _, bounds = line_sets(lines)
+            values = signatures(hashes, begins).astype(np.uint64).reshape(len(lines), BANDS, ROWS)
             keys = np.zeros((len(lines), BANDS), np.uint64)
             for r in range(ROWS):
-                keys = (keys + values[:, :, r]) * places[r]
+                keys = (keys + values[:, :, r]) * _PLACES[r]
                 keys ^= keys >> _U(31)
             keys = mix(keys + np.arange(BANDS, dtype=np.uint64))
-            k = keys.size
-            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.repeat(nodes, BANDS)), pa.array(np.zeros(k, np.int64)), pa.array(np.zeros(k, bool))], names=["key", "node", "n", "sure"])
+            nodes = np.array([name(x) for x in lines], np.int64)
+            columns = [keys.reshape(-1).view(np.int64), np.repeat(nodes, BANDS), np.repeat(np.diff(bounds), BANDS), np.zeros(keys.size, bool), np.zeros(keys.size, np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "node", "n", "sure", "pos"])
+
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sketch of lines (members)."""
+    counts = Counts()
+    for batch in batches:
+        for lines in _groups(batch["members"].to_pylist()):
+            counts.add(line_sets(lines)[2])
+    yield pa.RecordBatch.from_arrays(counts.columns(), names=["segment", "part", "counts"])
 
-_RNG_BANDS = _RNG.integers(1, 1 << 63, ROWS, dtype=np.uint64) | _U(1)
+
+def _first(sketch):
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(key, node, n, sure, pos) of lines (members): their first shingles."""
+        level = np.frombuffer(sketch.value, np.uint8)
+        for batch in batches:
+            for lines in _groups(batch["members"].to_pylist()):
+                _, _, members, bounds = line_sets(lines)
+                yield list_rows([(first_members(members[a:b], level, NUM, DEN), name(x), int(b - a), False) for x, a, b in zip(lines, bounds, bounds[1:], strict=False)])
+
+    return first
 
 
 def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,51 +168,78 @@ def _named(bits):
 
 
 def _fitting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of lines whose sets of shingles, as they are, reach the similarity."""
+    """Pairs of lines whose sets of shingles reach the similarity."""
     for batch in batches:
-        sets: dict[str, set[str]] = {}
-        size, fits = 0, []
-        for a, b in zip(batch["sa"].to_pylist(), batch["sb"].to_pylist(), strict=True):
-            if size > BATCH:
-                sets, size = {}, 0
-            for line in (a, b):
-                if line not in sets:
-                    sets[line] = {line[i : i + SHINGLE] for i in range(max(1, len(line) - SHINGLE + 1))}
-                    size += len(line)
-            shared = len(sets[a] & sets[b])
-            fits.append(shared * DEN >= (len(sets[a]) + len(sets[b]) - shared) * NUM)
+        sa, sb, fits = batch["sa"].to_pylist(), batch["sb"].to_pylist(), []
+        at = 0
+        while at < len(sa):
+            end, lines = at, {}
+            size = 0
+            while end < len(sa) and (end == at or size <= 16 * BATCH):
+                for line in (sa[end], sb[end]):
+                    if line not in lines:
+                        lines[line] = len(lines)
+                        size += len(line)
+                end += 1
+            _, _, members, bounds = line_sets(list(lines))
+            for a, b in zip(sa[at:end], sb[at:end], strict=True):
+                i, j = lines[a], lines[b]
+                both = np.concatenate((members[bounds[i] : bounds[i + 1]], members[bounds[j] : bounds[j + 1]]))
+                both.sort()
+                shared = int(np.count_nonzero(both[1:] == both[:-1]))
+                fits.append(shared * DEN >= (len(both) - shared) * NUM)
+            at = end
         yield batch.select(["a", "b"]).filter(pa.array(fits, pa.bool_()))
 
 
-def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of docs: doc_id, n_lines, n_removed, and removed: the places, from 0, of the lines that go, ascending."""
+def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row for each different row of docs (doc_id, row): n_lines and removed."""
     spark = docs.sparkSession
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("row"))
-    places = materialize(slim.mapInArrow(_places, "node long, doc_id long, row long, line long"), "places")
-    listed = listed_rows(slim.select("text"), _bands)
-    bits = spark.sparkContext.broadcast(hash_filter(listed, "node"))
-    wanted = materialize(listed.select("node").distinct(), "wanted")
-    named = slim.select("text").mapInArrow(_named(bits), "node long, members string")
-    sets = materialize(named.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("members").alias("members")), "sets")
-    found = components(linked_nodes(listed, sets, NUM, DEN, _fitting))
+    listed = listed_rows(slim.select("text"), _bands, NUM, DEN)
+
+    def fetch(wanted: DataFrame) -> DataFrame:
+        wanted = materialize(wanted, "wanted")
+        bits = spark.sparkContext.broadcast(hash_filter(wanted, "node"))
+        named = slim.select("text").mapInArrow(_named(bits), "node long, members string")
+        lines = materialize(named.join(bounded(wanted), "node", "left_semi").groupBy("node").agg(F.min("members").alias("members")), "lines")
+        release(wanted)
+        return lines
+
+    def relist(nodes: DataFrame) -> DataFrame:
+        lines = fetch(nodes)
+        sketch = summed(lines.select("members").mapInArrow(_counted, Counts.COLUMNS))
+        out = listed_rows(lines.select("members"), _first(spark.sparkContext.broadcast(sketch)), NUM, DEN)
+        release(lines)
+        return out
+
+    edges = linked_nodes(listed, fetch, lambda pairs: pairs.mapInArrow(_fitting, "a long, b long"), NUM, DEN, relist)
+    found = components(edges).select(F.col("id").alias("node"), F.col("root").alias("component"))
 
+    places = materialize(slim.mapInArrow(_places, "node long, doc_id long, row long, line long"), "places")
     lines = places.where("line >= 0")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line", "row"))
     nodes = lines.groupBy("node").agg(F.count("*").alias("c"), first.alias("first")).join(found, "node", "left")
     nodes = materialize(nodes.where("c > 1 OR component IS NOT NULL").select("node", F.coalesce("component", "node").alias("component"), "first"), "nodes")
     kept = nodes.groupBy("component").agg(F.min("first").alias("kept"))
     kept = materialize(nodes.join(kept, "component").select("node", "kept"), "kept")
-    gone = lines.join(kept, "node").where(~(F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("line") == F.col("kept.line")) & (F.col("row") == F.col("kept.row"))))
+    gone = lines.join(bounded(kept), "node").where(~(F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("line") == F.col("kept.line")) & (F.col("row") == F.col("kept.row"))))
     gone = gone.groupBy("doc_id", "row").agg(F.array_sort(F.collect_set("line")).alias("removed"))
     every = places.where("line < 0").select("doc_id", "row", F.col("node").alias("n_lines"))
     out = every.join(gone, every["doc_id"].eqNullSafe(gone["doc_id"]) & (every["row"] == gone["row"]), "left")
-    removed = F.coalesce("removed", F.array().cast("array<bigint>"))
-    return out.select(every["doc_id"], "n_lines", F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"))
+    return out.select(every["doc_id"], every["row"], "n_lines", F.coalesce("removed", F.array().cast("array<bigint>")).alias("removed"))
+
+
+def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each row of docs: doc_id, n_lines, n_removed, and removed: the places, from 0, of the lines that go, ascending."""
+    return _marked(docs, id_col, text_col).select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), "removed")
 
 
 def without_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs, all columns, their texts without the lines that go. Rows that repeat an id lose the lines that any of them loses."""
-    gone = duplicates(docs, id_col, text_col).where("n_removed > 0").groupBy(F.col("doc_id").alias("__id")).agg(F.array_distinct(F.flatten(F.collect_list("removed"))).alias("__gone"))
-    joined = docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("__id")), "left")
-    text = F.array_join(F.filter(F.split(F.col(text_col), "\n", -1), lambda x, i: ~F.coalesce(F.array_contains("__gone", i.cast("long")), F.lit(False))), "\n")
-    return joined.withColumn(text_col, F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(text)).select(*docs.columns)
+    """docs, all columns, their texts without the lines that go."""
+    id_, row, gone = free_names(docs.columns, "id", "row", "gone")
+    marked = _marked(docs, id_col, text_col).where(F.size("removed") > 0).dropDuplicates(["doc_id", "row"])
+    marked = marked.select(F.col("doc_id").alias(id_), F.col("row").alias(row), F.col("removed").alias(gone))
+    joined = docs.join(marked, docs[id_col].cast("long").eqNullSafe(F.col(id_)) & (F.xxhash64(docs[id_col], docs[text_col]) == F.col(row)), "left")
+    text = F.array_join(F.filter(F.split(docs[text_col], "\n", -1), lambda x, i: ~F.coalesce(F.array_contains(gone, i.cast("long")), F.lit(False))), "\n")
+    return joined.select(*[F.when(F.col(gone).isNull(), docs[c]).otherwise(text).alias(c) if c.lower() == text_col.lower() else docs[c] for c in docs.columns])

@@ -9,16 +9,20 @@ Equal sets are one node. Then
   size a lists its subsets of as many members as the two must share; sets that list the same subset link, but
   for two of the larger size, which link if they also share a list of their own: each links with the smaller ones.
 * heavy: pairs of larger sets. Each set enters the inverted lists of its first members in one order of all
-  members, rare ones first, as many as a linking pair must have one of in common. Lists are scanned for pairs.
+  members, rare ones first, as many as a linking pair must have one of in common, each with its place. A set at
+  place p of a list shares at most its members from p on with another whose first common member this is, so the
+  place bounds the sizes of its partners there (`reach`); rows without a partner leave the lists before these are scanned.
 The boundary is the largest size up to which listing subsets costs at most VERIFY times what entering lists
 does. The order comes from a count sketch over all documents, of fixed size; it only affects the cost.
 
-Lists longer than LONG are near-copies of one text, as rare members come first. There the pairs with a few
-pivots are looked at first, then only pairs whose sets aren't yet in one component. Every pair is verified
-on the whole sets. Links are not expanded within components.
+Lists of up to LONG rows give their pairs. Longer ones are near-copies of one text, as rare members come first: there
+the pairs with a few pivots, sets with the list's member far in front, are looked at first, then only pairs whose sets
+aren't yet in one component. Only sets in such pairs are fetched, and each pair is verified on the whole sets. Links
+are not expanded within components.
 
 Null and empty texts have no set and link with nothing. Rows that repeat an id count as one document. A
-null id has no links of its own; it gets the component of its set. An empty table gives no rows.
+null id has no links of its own; it gets the component of its set. An empty table gives no rows. Very long
+texts are whole sets like others. Columns but id and text are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ from __future__ import annotations
 import itertools
 import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -35,11 +39,14 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialize
+from ..operators.components import components
+from .common import free_names, materialize, release
 from .exchange import sharing_rows
 
-#: Rows of an inverted list that cost as much as one row of a subset; sketch counters (16 bit each) in SEGMENTS parts; pivots of a long list.
-VERIFY, COUNTERS, SEGMENTS, LONG, PIVOTS = 8, 1 << 22, 64, 48, 4
+#: Rows of an inverted list that cost as much as one row of a subset; sketch counters (16 bit each) in SEGMENTS parts; rows of a list whose pairs are all looked at; pivots of a longer one.
+VERIFY, COUNTERS, SEGMENTS, LONG, PIVOTS = 8, 1 << 22, 64, 16, 4
+#: Rows of two longs that are broadcast at most; beyond, both sides are shuffled.
+BROADCAST = 1_000_000
 #: Bytes of text that are hashed at once.
 BATCH = 1 << 21
 
@@ -149,25 +156,37 @@ def boundary(num: int, den: int) -> int:
     return n
 
 
+class Counts:
+    """Counters of members, 16 bits each, saturating: a partition's part of the sketch."""
+
+    COLUMNS = "segment int, part long, counts binary"
+
+    def __init__(self):
+        self.counts = np.zeros(COUNTERS, np.uint32)
+
+    def add(self, members: np.ndarray) -> None:
+        np.add.at(self.counts, (members & _U(COUNTERS - 1)).astype(np.int64), 1)
+
+    def columns(self) -> list[pa.Array]:
+        counts = np.minimum(self.counts, 65_535).astype(np.uint16).reshape(SEGMENTS, -1)
+        rows = [(i, zlib.compress(c.tobytes(), 1)) for i, c in enumerate(counts) if c.any()]
+        return [pa.array([i for i, _ in rows], pa.int32()), pa.array([TaskContext.get().partitionId()] * len(rows), pa.int64()), pa.array([c for _, c in rows], pa.binary())]
+
+
 def _heads(width: int):
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(COUNTERS, np.uint32)
+        counts = Counts()
         schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("segment", pa.int32()), ("part", pa.int64()), ("counts", pa.binary())])
         for batch in batches:
             n, node = [], []
             for _, members in sets_of(batch, width):
-                np.add.at(counts, (members & _U(COUNTERS - 1)).astype(np.int64), 1)
+                counts.add(members)
                 n.append(len(members))
                 node.append(node_of(members))
             none = [pa.nulls(len(n), f.type) for f in list(schema)[3:]]
             yield pa.RecordBatch.from_arrays([batch["id"], pa.array(n, pa.int64()), pa.array(node, pa.int64()), *none], schema=schema)
-        counts = np.minimum(counts, 65_535).astype(np.uint16).reshape(SEGMENTS, -1)
-        rows = [(i, zlib.compress(c.tobytes(), 1)) for i, c in enumerate(counts) if c.any()]
-        k = len(rows)
-        if k:
-            yield pa.RecordBatch.from_arrays(
-                [pa.nulls(k, pa.int64())] * 3 + [pa.array([r[0] for r in rows], pa.int32()), pa.array([TaskContext.get().partitionId()] * k, pa.int64()), pa.array([r[1] for r in rows], pa.binary())], schema=schema
-            )
+        columns = counts.columns()
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(columns[0]), pa.int64())] * 3 + columns, schema=schema)
 
     return heads
 
@@ -179,7 +198,7 @@ def _add(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"segment": pdf["segment"].iloc[:1], "part": pdf["part"].iloc[:1], "counts": [zlib.compress(total.astype(np.uint16).tobytes(), 1)]})
 
 
-def _sketch(parts: DataFrame) -> bytes:
+def summed(parts: DataFrame) -> bytes:
     """Sums the partitions' counters, at most 64 of a segment in one task at a time. The driver gets the sum, COUNTERS * 2 bytes."""
     most = parts.agg(F.max("part")).first()[0] or 0
     while most >= 64:
@@ -192,12 +211,17 @@ def _sketch(parts: DataFrame) -> bytes:
     return np.log2(np.maximum(out, 1)).astype(np.uint8).tobytes()
 
 
+def first_members(members: np.ndarray, level: np.ndarray, num: int, den: int) -> np.ndarray:
+    """The members of which a linking set has one as well, in the order of all members: by the sketch's level, then as they are."""
+    order = np.lexsort((members, level[(members & _U(COUNTERS - 1)).astype(np.int64)]))
+    return members[order[: prefix(len(members), num, den)]]
+
+
 def _keys(width: int, num: int, den: int, limit: int, sketch):
     sizes: dict[int, list[tuple[int, int]]] = {}
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = np.frombuffer(sketch.value, np.uint8)
-        names, kinds = ["key", "node", "n", "sure"], (pa.int64(), pa.int64(), pa.int64(), pa.bool_())
         for batch in batches:
             out: list[tuple] = []
             for _, members in sets_of(batch, width):
@@ -213,21 +237,22 @@ def _keys(width: int, num: int, den: int, limit: int, sketch):
                         kept = np.delete(members, left) if left else members
                         out.append((_one(int(mix(kept).sum(dtype=np.uint64)) + tag), node, n, True))
                 if n > limit:
-                    order = np.lexsort((members, level[(members & _U(COUNTERS - 1)).astype(np.int64)]))
-                    out.append((members[order[: prefix(n, num, den)]], node, n, False))
+                    out.append((first_members(members, level, num, den), node, n, False))
                 if len(out) >= 2_000:
-                    yield _rows(out, names, kinds)
+                    yield list_rows(out)
                     out = []
             if out:
-                yield _rows(out, names, kinds)
+                yield list_rows(out)
 
     return keys
 
 
-def _rows(out: list[tuple], names: list[str], kinds: tuple) -> pa.RecordBatch:
+def list_rows(out: list[tuple[np.ndarray, int, int, bool]]) -> pa.RecordBatch:
+    """(key, node, n, sure, pos) of (keys, node, n, sure); a key's place among a node's keys counts unless they are sure."""
     times = [len(x[0]) for x in out]
-    columns = [np.concatenate([x[0] for x in out]).view(np.int64), *(np.repeat(np.array([x[i] for x in out]), times) for i in (1, 2, 3))]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
+    node, n, sure = (np.repeat(np.array([x[i] for x in out], t), times) for i, t in ((1, np.int64), (2, np.int64), (3, bool)))
+    pos = np.concatenate([np.zeros(k, np.int32) if x[3] else np.arange(k, dtype=np.int32) for x, k in zip(out, times, strict=True)])
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[0] for x in out]).view(np.int64)), pa.array(node), pa.array(n), pa.array(sure), pa.array(pos)], names=["key", "node", "n", "sure", "pos"])
 
 
 def _members(width: int):
@@ -249,97 +274,146 @@ def _fits(a: Column, b: Column, num: int, den: int) -> Column:
     return F.least(a, b) * den >= F.greatest(a, b) * num
 
 
-def listed_rows(source: DataFrame, rows) -> DataFrame:
-    """What `rows` makes of source's batches, (key, node, n, sure), where the list has more than one node, each once, with the list's length m and PIVOTS of its nodes.
+def listed_rows(source: DataFrame, rows, num: int, den: int) -> DataFrame:
+    """What `rows` makes of source's batches, (key, node, n, sure, pos), where the list has partners for the row, with the list's length m and PIVOTS of its rows.
 
-    A sure list's pivots are of its smallest size: the sets of that size link with all others, but larger ones need not link with each other.
+    reach is the size of the largest partner that a row may have in its list. A sure list's pivots are of its smallest
+    size: the sets of that size link with all others, but larger ones need not link with each other.
     """
-    entries = materialize(sharing_rows(source, rows).groupBy("key", "sure", "node", "n").agg(F.count("*").alias("c")).drop("c"), "entries")
-    draws = [F.min(F.struct(F.when(F.col("sure"), F.col("n")).alias("size"), F.xxhash64(F.lit(j), "node"), "node", "n")).alias(f"p{j}") for j in range(PIVOTS)]
-    common = entries.groupBy("key", "sure").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo != hi").select("key", "sure")
-    shared = materialize(entries.join(common, ["key", "sure"], "left_semi"), "shared")
-    lists = shared.groupBy("key", "sure").agg(F.count("*").alias("m"), *draws)
-    return materialize(shared.join(lists, ["key", "sure"]), "listed")
-
-
-def linked_nodes(listed: DataFrame, sets: DataFrame, num: int, den: int, fitting=None) -> DataFrame:
-    """Edges (a, b) between nodes of common lists whose sets (node, members) reach the similarity; those within components may be left out.
-
-    fitting: takes batches of pairs (a, b, sa, sb), each with both members columns, and gives (a, b) of those that reach it; without it, members are arrays.
+    entries = sharing_rows(source, rows)
+    placed = entries.withColumn("reach", F.expr(f"(n - pos) * {num + den}L div {num}L - n"))
+    spans = placed.groupBy("key", "sure").agg(F.min("n").alias("least"), F.max("reach").alias("most"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo != hi").drop("lo", "hi")
+    alive = materialize(placed.join(spans, ["key", "sure"]).where("reach >= least AND n <= most").select("key", "sure", "node", "n", "pos", "reach"), "alive")
+    release(entries)
+    draws = [F.min(F.struct(F.when(F.col("sure"), F.col("n")).alias("size"), "pos", F.xxhash64(F.lit(j), "node"), "node", "n", "reach")).alias(f"p{j}") for j in range(PIVOTS)]
+    lists = alive.groupBy("key", "sure").agg(F.count("*").alias("m"), *draws).where("m > 1")
+    listed = materialize(alive.join(lists, ["key", "sure"]).drop("pos"), "listed")
+    release(alive)
+    return listed
+
+
+def linked_nodes(listed: DataFrame, fetch: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame], DataFrame], num: int, den: int, relist: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Edges (a, b) between nodes of common lists that `verify` lets through; those within components may be left out. Releases listed.
+
+    fetch: the sets (node, members) of the nodes asked for, (node), materialized. verify: of (a, b, sa, sb), with both
+    members, the (a, b) that link. relist: of the nodes (node) of long lists that aren't in one component yet, their listed
+    rows in narrower lists, which have all their linking pairs in common; without it the long lists' open pairs are looked at.
     """
+    may = lambda n, reach, n2, reach2: _fits(n, n2, num, den) & (n <= reach2) & (n2 <= reach)
     star = listed.where(F.col("sure") | (F.col("m") > LONG))
     pivots = F.explode(F.when(F.col("sure"), F.array("p0")).otherwise(F.array(*[f"p{j}" for j in range(PIVOTS)])))
-    star = star.select("node", "n", pivots.alias("p")).select(*_pair(F.col("node"), F.col("n"), F.col("p.node"), F.col("p.n")))
-    short = listed.where(~F.col("sure") & (F.col("m") <= LONG)).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("n", "node"))).alias("l"))
-    short = short.select("l", F.explode("l").alias("x")).select("x", F.explode(F.filter("l", lambda y: (y > F.col("x")) & (y["n"] * num <= F.col("x.n") * den))).alias("y"))
-    short = short.select(*_pair(F.col("x.node"), F.col("x.n"), F.col("y.node"), F.col("y.n")))
-    first = materialize(star.unionByName(short).where((F.col("a") != F.col("b")) & _fits(F.col("na"), F.col("nb"), num, den)).distinct(), "pairs")
+    star = star.select("node", "n", "reach", pivots.alias("p")).where(may(F.col("n"), F.col("reach"), F.col("p.n"), F.col("p.reach")))
+    short = listed.where(~F.col("sure") & (F.col("m") <= LONG)).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("n", "node", "reach"))).alias("l"))
+    partners_ = F.filter("l", lambda y: (y["node"] != F.col("x.node")) & (y["n"] >= F.col("x.n")) & may(y["n"], y["reach"], F.col("x.n"), F.col("x.reach")))
+    short = short.select("l", F.explode("l").alias("x")).select("x", F.explode(partners_).alias("y"))
+    pairs = star.select(*_pair(F.col("node"), F.col("p.node"))).unionByName(short.select(*_pair(F.col("x.node"), F.col("y.node"))))
 
     def verified(pairs: DataFrame) -> DataFrame:
+        pairs = materialize(pairs.where("a != b").distinct(), "pairs")
+        sets = fetch(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct())
         side = lambda c: sets.select(F.col("node").alias(c), F.col("members").alias(f"s{c}"))
-        both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
-        if fitting:
-            return both.select("a", "b", "sa", "sb").mapInArrow(fitting, "a long, b long")
-        shared = F.size(F.array_intersect("sa", "sb"))
-        return both.where(shared * den >= (F.size("sa") + F.size("sb") - shared) * num).select("a", "b")
+        out = materialize(verify(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb")), "links")
+        release(pairs, sets)
+        return out
 
-    edges = materialize(verified(first), "links")
+    edges = verified(pairs)
     long = listed.where(~F.col("sure") & (F.col("m") > LONG))
     if not long.isEmpty():
-        edges = edges.unionByName(materialize(verified(_open_pairs(long, edges, num, den)), "links"))
+        placed = _placed(long, edges)
+        if relist is None:
+            edges = edges.unionByName(verified(_open_pairs(placed, may)))
+        else:
+            nodes = materialize(_open(placed).select("node").distinct(), "open")
+            if not nodes.isEmpty():
+                edges = edges.unionByName(linked_nodes(relist(nodes), fetch, verify, num, den))
+            release(nodes)
+        release(placed)
+    release(listed)
     return edges
 
 
-def _pair(an: Column, a: Column, bn: Column, b: Column) -> tuple[Column, ...]:
-    return F.least(an, bn).alias("a"), F.when(an <= bn, a).otherwise(b).alias("na"), F.greatest(an, bn).alias("b"), F.when(an <= bn, b).otherwise(a).alias("nb")
+def _pair(a: Column, b: Column) -> tuple[Column, Column]:
+    return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
 
 
-def links(docs: DataFrame, heads: DataFrame, sketch: bytes, width: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """(edges between representatives' ids, all nodes (node, n, rep)). docs (id, text), heads (id, n, node)."""
-    spark = docs.sparkSession
-    limit = boundary(num, den)
-    nodes = heads.where("n > 0").groupBy("node", "n").agg(F.min("id").alias("rep"))
-    listed = listed_rows(docs.select("text"), _keys(width, num, den, limit, spark.sparkContext.broadcast(sketch)))
-    needed = materialize(listed.select("node", "n").distinct().join(nodes, ["node", "n"]).where("rep IS NOT NULL"), "needed")
-    wanted = needed.select(F.col("rep").alias("id"), F.col("node").alias("wanted")).hint("merge")
-    texts = docs.join(wanted, "id").dropDuplicates(["id", "text", "wanted"])
-    sets = materialize(texts.select("text", "wanted").mapInArrow(_members(width), "node long, members array<long>"), "sets")
-    rep = lambda c: needed.select(F.col("node").alias(c), F.col("rep").alias(f"r{c}"))
-    edges = linked_nodes(listed, sets, num, den)
-    edges = edges.join(rep("a"), "a").join(rep("b"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-    return edges, nodes
+def _placed(long: DataFrame, edges: DataFrame) -> DataFrame:
+    """Rows of long lists with their component, materialized."""
+    found = components(edges).select(F.col("id").alias("node"), F.col("root").alias("component"))
+    return materialize(long.select("key", "node", "n", "reach").join(found, "node", "left").select("key", "node", "n", "reach", F.coalesce("component", "node").alias("component")), "placed")
 
 
-def _open_pairs(long: DataFrame, edges: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs within long lists whose sets are in different components of edges.
-
-    A list's largest component is not paired with itself; each set outside it meets the list's other sets.
-    """
-    placed = long.select("key", "node", "n").join(components(edges), "node", "left")
-    placed = materialize(placed.select("key", "node", "n", F.coalesce("component", "node").alias("component")), "placed")
+def _open(placed: DataFrame) -> DataFrame:
+    """The rows of lists that have more than one component, with the largest one, `most`."""
     sizes = placed.groupBy("key", "component").agg(F.count("*").alias("c"))
     largest = sizes.groupBy("key").agg(F.max(F.struct("c", "component"))["component"].alias("most"), F.count("*").alias("k")).where("k > 1").drop("k")
-    placed = placed.join(largest, "key")
-    outside = placed.where("component != most").select("key", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"))
-    met = outside.join(placed.select("key", "node", "n", "component"), "key").where((F.col("cx") != F.col("component")) & _fits(F.col("nx"), F.col("n"), num, den))
-    return materialize(met.select(*_pair(F.col("x"), F.col("nx"), F.col("node"), F.col("n"))).distinct(), "pairs")
+    return placed.join(largest, "key")
+
+
+def _open_pairs(placed: DataFrame, may) -> DataFrame:
+    """Pairs within long lists whose sets are in different components.
+
+    A list's largest component is not paired with itself. Each set outside it first looks which of the list's sizes
+    hold a partner that both places allow, and meets the sets of those sizes only.
+    """
+    outside = _open(placed).where("component != most").select("key", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("reach").alias("rx"), F.col("component").alias("cx"))
+    tops = placed.groupBy("key", "n").agg(F.max("reach").alias("top"))
+    asked = outside.join(tops, "key").where(may(F.col("nx"), F.col("rx"), F.col("n"), F.col("top"))).drop("top")
+    met = asked.join(placed, ["key", "n"]).where((F.col("cx") != F.col("component")) & (F.col("nx") <= F.col("reach")))
+    return met.select(*_pair(F.col("x"), F.col("node")))
+
+
+def _same_members(num: int, den: int):
+    def verify(pairs: DataFrame) -> DataFrame:
+        shared = F.size(F.array_intersect("sa", "sb"))
+        return pairs.where(shared * den >= (F.size("sa") + F.size("sb") - shared) * num).select("a", "b")
+
+    return verify
+
+
+def bounded(table: DataFrame, most: int = BROADCAST) -> DataFrame:
+    """A materialized table to join with: broadcast if it has no more rows than that, else shuffled."""
+    return table.hint("broadcast" if table.count() <= most else "merge")
+
+
+def links(docs: DataFrame, nodes: DataFrame, sketch: bytes, width: int, num: int, den: int) -> DataFrame:
+    """Edges (a, b) between nodes. docs (id, text), nodes (node, n, rep)."""
+    listed = listed_rows(docs.select("text"), _keys(width, num, den, boundary(num, den), docs.sparkSession.sparkContext.broadcast(sketch)), num, den)
+
+    def fetch(wanted: DataFrame) -> DataFrame:
+        needed = materialize(wanted.join(nodes.where("rep IS NOT NULL"), "node").select(F.col("rep").alias("id"), F.col("node").alias("wanted")), "needed")
+        texts = docs.join(bounded(needed), "id").select("text", "wanted")
+        sets = texts.mapInArrow(_members(width), "node long, members array<long>").groupBy("node").agg(F.first("members").alias("members"))
+        sets = materialize(sets, "sets")
+        release(needed)
+        return sets
+
+    return linked_nodes(listed, fetch, _same_members(num, den), num, den)
 
 
 def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, num: int = 85, den: int = 100) -> DataFrame:
     """One row for each row of docs: doc_id, n_shingles, component_id. Similarity num / den, sets of `width`-word shingles."""
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     both = materialize(slim.mapInArrow(_heads(width), "id long, n long, node long, segment int, part long, counts binary"), "heads")
-    heads = both.where("n IS NOT NULL").select("id", "n", "node")
-    sketch = _sketch(both.where("counts IS NOT NULL").select("segment", "part", "counts"))
-    edges, nodes = links(slim, heads, sketch, width, num, den)
-    found = components(edges)
-    placed = nodes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("node", "n", F.coalesce("component", "rep").alias("component"))
+    sketch = summed(both.where("counts IS NOT NULL").select("segment", "part", "counts"))
+    heads = materialize(both.where("n IS NOT NULL").select("id", "n", "node"), "heads")
+    release(both)
+    nodes = materialize(heads.where("n > 0").groupBy("node", "n").agg(F.min("id").alias("rep")), "nodes")
+    found = materialize(components(links(slim, nodes, sketch, width, num, den)), "found")
+    tied = materialize(found.join(nodes, F.col("id") == F.col("node")).select("node", "root", "rep"), "tied")
+    first = tied.groupBy("root").agg(F.min("rep").alias("component"))
+    tied = tied.join(first, "root").select(F.col("node").alias("linked"), "component")
+    placed = nodes.join(tied, F.col("node") == F.col("linked"), "left").select("node", "n", F.coalesce("component", "rep").alias("component"))
     placed = materialize(placed, "components")
     out = heads.join(placed, ["node", "n"], "left")
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """docs, all columns, with one document of each component: the one of the smallest id. Documents without words stay."""
-    kept = joined(docs, id_col, text_col, width, num, den).where("n_shingles = 0 OR component_id <=> doc_id").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("__kept")), "left_semi")
+    """docs, all columns, with one document of each component: the one of the smallest id. Documents without words stay.
+
+    Rows that repeat an id stay or go together: they stay if one of their texts does.
+    """
+    gone_id, stays = free_names(docs.columns, "gone_id", "stays")
+    kept = F.max((F.col("n_shingles") == 0) | F.col("component_id").eqNullSafe(F.col("doc_id")))
+    gone = joined(docs, id_col, text_col, width, num, den).groupBy(F.col("doc_id").alias(gone_id)).agg(kept.alias(stays)).where(~F.col(stays)).select(gone_id)
+    return docs.join(bounded(materialize(gone, "gone")), docs[id_col].cast("long").eqNullSafe(F.col(gone_id)), "left_anti")
