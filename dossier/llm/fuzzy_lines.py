@@ -90,8 +90,10 @@ def line_sets(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     return hashes, begins, members[new], np.concatenate(([0], np.cumsum(np.bincount(line[new], minlength=len(lines)))))
 
 
-def _distinct(batch: pa.RecordBatch) -> dict[str, None]:
-    return dict.fromkeys(x for t in batch["text"].to_pylist() for x in lines_of(t) if x)
+def _distinct(batch: pa.RecordBatch) -> Iterator[list[str]]:
+    """The different lines of some rows at a time."""
+    for at in range(0, batch.num_rows, 512):
+        yield list(dict.fromkeys(x for t in batch["text"].slice(at, 512).to_pylist() for x in lines_of(t) if x))
 
 
 def _groups(lines: list[str]) -> Iterator[list[str]]:
@@ -108,7 +110,7 @@ def _groups(lines: list[str]) -> Iterator[list[str]]:
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, node, n, sure, pos) of a batch's different lines; n is the number of different shingles."""
     for batch in batches:
-        for lines in _groups(list(_distinct(batch))):
+        for lines in (x for part in _distinct(batch) for x in _groups(part)):
             hashes, begins, _, bounds = line_sets(lines)
             values = signatures(hashes, begins).astype(np.uint64).reshape(len(lines), BANDS, ROWS)
             keys = np.zeros((len(lines), BANDS), np.uint64)
@@ -158,8 +160,7 @@ def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _named(bits):
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(node, members) of a batch's different lines that pass the filter; the line itself stands for its shingles."""
-        for batch in batches:
-            lines = list(_distinct(batch))
+        for lines in (x for batch in batches for x in _distinct(batch)):
             nodes = np.array([name(x) for x in lines], np.int64)
             known = passes(bits.value, nodes.view(np.uint64)) if len(nodes) else np.zeros(0, bool)
             yield pa.RecordBatch.from_arrays([pa.array(nodes[known]), pa.array([x for x, k in zip(lines, known, strict=True) if k], pa.string())], names=["node", "members"])

@@ -33,7 +33,6 @@ import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -47,8 +46,8 @@ from .exchange import sharing_rows
 VERIFY, COUNTERS, SEGMENTS, LONG, PIVOTS = 8, 1 << 22, 64, 16, 4
 #: Rows of two longs that are broadcast at most; beyond, both sides are shuffled.
 BROADCAST = 1_000_000
-#: Bytes of text that are hashed at once.
-BATCH = 1 << 21
+#: Code points of text that are hashed at once, and rows that are turned into Python strings at once.
+BATCH, SLICE = 1 << 19, 256
 
 _U = np.uint64
 _RNG = np.random.default_rng(5)
@@ -109,16 +108,17 @@ def shingle_sets(texts: list[str | None], width: int) -> list[np.ndarray]:
 
 
 def sets_of(batch: pa.RecordBatch, width: int, column: str = "text") -> Iterator[tuple[int, np.ndarray]]:
-    """(row, set) for a batch, hashed in pieces of about BATCH bytes."""
-    texts = batch[column].to_pylist()
-    at = 0
-    while at < len(texts):
-        end, size = at, 0
-        while end < len(texts) and (end == at or size + len(texts[end] or "") <= BATCH):
-            size += len(texts[end] or "")
-            end += 1
-        yield from enumerate(shingle_sets(texts[at:end], width), at)
-        at = end
+    """(row, set) for a batch, hashed in pieces of about BATCH code points."""
+    for first in range(0, batch.num_rows, SLICE):
+        texts = batch[column].slice(first, SLICE).to_pylist()
+        at = 0
+        while at < len(texts):
+            end, size = at, 0
+            while end < len(texts) and (end == at or size + len(texts[end] or "") <= BATCH):
+                size += len(texts[end] or "")
+                end += 1
+            yield from enumerate(shingle_sets(texts[at:end], width), first + at)
+            at = end
 
 
 def _one(value: int) -> np.ndarray:
@@ -191,11 +191,11 @@ def _heads(width: int):
     return heads
 
 
-def _add(pdf: pd.DataFrame) -> pd.DataFrame:
+def _add(table: pa.Table) -> pa.Table:
     total = np.zeros(COUNTERS // SEGMENTS, np.uint32)
-    for raw in pdf["counts"]:
+    for raw in table["counts"].to_pylist():
         total = np.minimum(total + np.frombuffer(zlib.decompress(raw), np.uint16), 65_535)
-    return pd.DataFrame({"segment": pdf["segment"].iloc[:1], "part": pdf["part"].iloc[:1], "counts": [zlib.compress(total.astype(np.uint16).tobytes(), 1)]})
+    return pa.table({"segment": table["segment"][:1], "part": table["part"][:1], "counts": pa.array([zlib.compress(total.astype(np.uint16).tobytes(), 1)], pa.binary())})
 
 
 def summed(parts: DataFrame) -> bytes:
@@ -203,8 +203,8 @@ def summed(parts: DataFrame) -> bytes:
     most = parts.agg(F.max("part")).first()[0] or 0
     while most >= 64:
         most //= 64
-        parts = parts.withColumn("part", F.floor(F.col("part") / 64).cast("long")).groupBy("segment", "part").applyInPandas(_add, "segment int, part long, counts binary")
-    parts = parts.withColumn("part", F.lit(0).cast("long")).groupBy("segment", "part").applyInPandas(_add, "segment int, part long, counts binary")
+        parts = parts.withColumn("part", F.floor(F.col("part") / 64).cast("long")).groupBy("segment", "part").applyInArrow(_add, Counts.COLUMNS)
+    parts = parts.withColumn("part", F.lit(0).cast("long")).groupBy("segment", "part").applyInArrow(_add, Counts.COLUMNS)
     out = np.zeros((SEGMENTS, COUNTERS // SEGMENTS), np.uint16)
     for row in parts.collect():
         out[row["segment"]] = np.frombuffer(zlib.decompress(row["counts"]), np.uint16)
@@ -260,8 +260,8 @@ def _members(width: int):
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
                 found = [(w, m) for w, (_, m) in zip(part["wanted"].to_pylist(), sets_of(part, width)) if node_of(m) == w]
                 if found:
                     arrays = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(m) for _, m in found]))), pa.int32()), pa.array(np.concatenate([m for _, m in found]).view(np.int64)))
