@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import components
 from .common import free_names, hash_filter, materialize, passes, release
-from .ngram_join import Counts, bounded, first_members, linked_nodes, list_rows, listed_rows, mix, summed
+from .ngram_join import Counts, bounded, first_members, linked_nodes, list_rows, listed_rows, mix, reach_similarity, summed
 
 SHINGLE, NUM, DEN = 8, 80, 100
 BANDS, ROWS = 16, 5
@@ -185,10 +185,7 @@ def _fitting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             _, _, members, bounds = line_sets(list(lines))
             for a, b in zip(sa[at:end], sb[at:end], strict=True):
                 i, j = lines[a], lines[b]
-                both = np.concatenate((members[bounds[i] : bounds[i + 1]], members[bounds[j] : bounds[j + 1]]))
-                both.sort()
-                shared = int(np.count_nonzero(both[1:] == both[:-1]))
-                fits.append(shared * DEN >= (len(both) - shared) * NUM)
+                fits.append(reach_similarity(members[bounds[i] : bounds[i + 1]], members[bounds[j] : bounds[j + 1]], NUM, DEN))
             at = end
         yield batch.select(["a", "b"]).filter(pa.array(fits, pa.bool_()))
 
@@ -199,19 +196,18 @@ def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("row"))
     listed = listed_rows(slim.select("text"), _bands, NUM, DEN)
 
-    def fetch(wanted: DataFrame) -> DataFrame:
+    def fetch(wanted: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
         wanted = materialize(wanted, "wanted")
         bits = spark.sparkContext.broadcast(hash_filter(wanted, "node"))
         named = slim.select("text").mapInArrow(_named(bits), "node long, members string")
-        lines = materialize(named.join(bounded(wanted), "node", "left_semi").groupBy("node").agg(F.min("members").alias("members")), "lines")
-        release(wanted)
-        return lines
+        return named.join(bounded(wanted), "node", "left_semi").groupBy("node").agg(F.min("members").alias("members")), [wanted]
 
     def relist(nodes: DataFrame) -> DataFrame:
-        lines = fetch(nodes)
+        lines, behind = fetch(nodes)
+        lines = materialize(lines, "lines")
         sketch = summed(lines.select("members").mapInArrow(_counted, Counts.COLUMNS))
         out = listed_rows(lines.select("members"), _first(spark.sparkContext.broadcast(sketch)), NUM, DEN)
-        release(lines)
+        release(lines, *behind)
         return out
 
     edges = linked_nodes(listed, fetch, lambda pairs: pairs.mapInArrow(_fitting, "a long, b long"), NUM, DEN, relist)

@@ -255,19 +255,38 @@ def list_rows(out: list[tuple[np.ndarray, int, int, bool]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[0] for x in out]).view(np.int64)), pa.array(node), pa.array(n), pa.array(sure), pa.array(pos)], names=["key", "node", "n", "sure", "pos"])
 
 
-def _members(width: int):
-    """Sets of the texts whose node is the wanted one: an id may come with several texts."""
+def _named(width: int):
+    """(node, members) of the texts whose node is the wanted one: an id may come with several texts. The text stands for its set."""
 
-    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = np.array([node_of(m) for _, m in sets_of(batch, width)], np.int64) == batch["wanted"].to_numpy()
+            yield pa.RecordBatch.from_arrays([batch["wanted"], batch["text"]], names=["node", "members"]).filter(pa.array(own))
+
+    return named
+
+
+def reach_similarity(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
+    """Whether two sets, sorted, are as similar as num / den."""
+    both = np.concatenate((a, b))
+    both.sort()
+    shared = int(np.count_nonzero(both[1:] == both[:-1]))
+    return shared * den >= (len(both) - shared) * num
+
+
+def _linking(width: int, num: int, den: int):
+    """Pairs (a, b, sa, sb) of texts whose sets reach the similarity."""
+
+    def linking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
-                found = [(w, m) for w, (_, m) in zip(part["wanted"].to_pylist(), sets_of(part, width)) if node_of(m) == w]
-                if found:
-                    arrays = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(m) for _, m in found]))), pa.int32()), pa.array(np.concatenate([m for _, m in found]).view(np.int64)))
-                    yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in found], pa.int64()), arrays], names=["node", "members"])
+                sides = [part[c].to_pylist() for c in ("sa", "sb")]
+                texts = list(dict.fromkeys(sides[0] + sides[1]))
+                sets = {texts[i]: m for i, m in sets_of(pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"]), width)}
+                yield part.select(["a", "b"]).filter(pa.array([reach_similarity(sets[x], sets[y], num, den) for x, y in zip(*sides, strict=True)], pa.bool_()))
 
-    return members
+    return linking
 
 
 def _fits(a: Column, b: Column, num: int, den: int) -> Column:
@@ -292,10 +311,10 @@ def listed_rows(source: DataFrame, rows, num: int, den: int) -> DataFrame:
     return listed
 
 
-def linked_nodes(listed: DataFrame, fetch: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame], DataFrame], num: int, den: int, relist: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def linked_nodes(listed: DataFrame, fetch: Callable[[DataFrame], tuple[DataFrame, list[DataFrame]]], verify: Callable[[DataFrame], DataFrame], num: int, den: int, relist: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Edges (a, b) between nodes of common lists that `verify` lets through; those within components may be left out. Releases listed.
 
-    fetch: the sets (node, members) of the nodes asked for, (node), materialized. verify: of (a, b, sa, sb), with both
+    fetch: the sets (node, members) of the nodes asked for, (node), and the tables to release after them. verify: of (a, b, sa, sb), with both
     members, the (a, b) that link. relist: of the nodes (node) of long lists that aren't in one component yet, their listed
     rows in narrower lists, which have all their linking pairs in common; without it the long lists' open pairs are looked at.
     """
@@ -310,10 +329,10 @@ def linked_nodes(listed: DataFrame, fetch: Callable[[DataFrame], DataFrame], ver
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = materialize(pairs.where("a != b").distinct(), "pairs")
-        sets = fetch(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct())
+        sets, behind = fetch(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct())
         side = lambda c: sets.select(F.col("node").alias(c), F.col("members").alias(f"s{c}"))
         out = materialize(verify(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb")), "links")
-        release(pairs, sets)
+        release(pairs, *behind)
         return out
 
     edges = verified(pairs)
@@ -362,14 +381,6 @@ def _open_pairs(placed: DataFrame, may) -> DataFrame:
     return met.select(*_pair(F.col("x"), F.col("node")))
 
 
-def _same_members(num: int, den: int):
-    def verify(pairs: DataFrame) -> DataFrame:
-        shared = F.size(F.array_intersect("sa", "sb"))
-        return pairs.where(shared * den >= (F.size("sa") + F.size("sb") - shared) * num).select("a", "b")
-
-    return verify
-
-
 def bounded(table: DataFrame, most: int = BROADCAST) -> DataFrame:
     """A materialized table to join with: broadcast if it has no more rows than that, else shuffled."""
     return table.hint("broadcast" if table.count() <= most else "merge")
@@ -379,15 +390,12 @@ def links(docs: DataFrame, nodes: DataFrame, sketch: bytes, width: int, num: int
     """Edges (a, b) between nodes. docs (id, text), nodes (node, n, rep)."""
     listed = listed_rows(docs.select("text"), _keys(width, num, den, boundary(num, den), docs.sparkSession.sparkContext.broadcast(sketch)), num, den)
 
-    def fetch(wanted: DataFrame) -> DataFrame:
+    def fetch(wanted: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
         needed = materialize(wanted.join(nodes.where("rep IS NOT NULL"), "node").select(F.col("rep").alias("id"), F.col("node").alias("wanted")), "needed")
-        texts = docs.join(bounded(needed), "id").select("text", "wanted")
-        sets = texts.mapInArrow(_members(width), "node long, members array<long>").groupBy("node").agg(F.first("members").alias("members"))
-        sets = materialize(sets, "sets")
-        release(needed)
-        return sets
+        texts = docs.join(bounded(needed), "id").select("text", "wanted").mapInArrow(_named(width), "node long, members string")
+        return texts.groupBy("node").agg(F.first("members").alias("members")), [needed]
 
-    return linked_nodes(listed, fetch, _same_members(num, den), num, den)
+    return linked_nodes(listed, fetch, lambda pairs: pairs.mapInArrow(_linking(width, num, den), "a long, b long"), num, den)
 
 
 def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, num: int = 85, den: int = 100) -> DataFrame:
