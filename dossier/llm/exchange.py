@@ -2,13 +2,15 @@
 
 1. Each partition packs its rows (key, node, n, sure, pos) in chunks ("senders"), sorted and each row once. These are kept; a
    row has its node by its place among the chunk's nodes.
-2. A sender sends each owner (a range of key hashes) the low 32 bits of its different hashes, sorted.
-3. An owner returns each sender a bitmap over what that one sent: which hashes another sender sent too.
+2. A sender sends each owner (a range of key hashes) the low 32 bits of its different hashes, ascending, and with each 32
+   bits of the node that has it, or zero if several of its nodes have it.
+3. An owner returns each sender a bitmap over what that one sent: which hashes came with different nodes, or with zero.
 4. A sender lets go the rows whose hash is marked, or that share their key within the chunk.
 
-Only hashes travel for most rows, four bytes each, and a key has one hash for each sender, however many rows
-it holds. Keys whose hashes meet by chance come through as well: the rows that come out still have to be
-counted by their keys. No row that shares its key is lost.
+Only hashes travel for most rows, eight bytes each, and a key has one hash for each sender, however many rows
+it holds; copies of a node, whichever sender has them, don't share a key. Keys whose hashes meet by chance come
+through as well: the rows that come out still have to be counted by their keys. Two nodes alone on a list are
+lost to it if their 32 bits are equal.
 """
 
 from __future__ import annotations
@@ -45,9 +47,9 @@ def _chunk(sender: int, held: list[pa.RecordBatch]) -> pa.RecordBatch:
     sure, pos = table["sure"].to_numpy().astype(bool), table["pos"].to_numpy().astype(np.int32)
     nodes, first, who = np.unique(node, return_index=True, return_inverse=True)
     h = _hashes(key, sure)
-    order = np.lexsort((who, h))
+    order = np.argsort(h)
     key, who, sure, pos, h = key[order], who[order], sure[order], pos[order], h[order]
-    new = np.ones(len(key), bool)
+    new = np.ones(len(key), bool)  # copies that don't lie side by side stay
     new[1:] = (h[1:] != h[:-1]) | (key[1:] != key[:-1]) | (who[1:] != who[:-1]) | (sure[1:] != sure[:-1])
     columns = [pa.array([x.tobytes()], pa.binary()) for x in (key[new], who[new].astype(np.int32), sure[new], pos[new], nodes, n[first])]
     return pa.RecordBatch.from_arrays([pa.array([sender], pa.int64()), pa.array([int(new.sum())], pa.int64()), *columns], names=["sender", "size", "key", "who", "sure", "pos", "node", "n"])
@@ -70,33 +72,48 @@ def _pack(rows: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
     return pack
 
 
-def _different(key: bytes, sure: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """A chunk's different hashes, ascending, and which of them each row has."""
-    h = _hashes(np.frombuffer(key, np.int64), np.frombuffer(sure, bool))
+def _different(key: bytes, sure: bytes, who: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A chunk's different hashes, ascending, which of them each row has, and whether several nodes have it."""
+    h, of = _hashes(np.frombuffer(key, np.int64), np.frombuffer(sure, bool)), np.frombuffer(who, np.int32)
     new = np.ones(len(h), bool)
     new[1:] = h[1:] != h[:-1]
-    return h[new], np.cumsum(new) - 1
+    starts = np.flatnonzero(new)
+    return h[starts], np.cumsum(new) - 1, np.minimum.reduceat(of, starts) != np.maximum.reduceat(of, starts)
+
+
+def _bits_of(node: np.ndarray) -> np.ndarray:
+    """32 bits of a node, never zero."""
+    h = node.view(np.uint64) * _U(0xBF58476D1CE4E5B9)
+    return np.maximum((h >> _U(32)).astype(np.uint32), np.uint32(1))
 
 
 def _send(owners: int):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for sender, key, sure in zip(*(batch[c].to_pylist() for c in ("sender", "key", "sure")), strict=True):
-                hashes, _ = _different(key, sure)
+            for i, sender in enumerate(batch["sender"].to_pylist()):
+                key, sure, who, node = (batch[c][i].as_py() for c in ("key", "sure", "who", "node"))
+                hashes, of, several = _different(key, sure, who)
+                first = np.flatnonzero(np.diff(of, prepend=-1))
+                bits = _bits_of(np.frombuffer(node, np.int64))[np.frombuffer(who, np.int32)[first]]
+                bits[several] = 0
                 owner = ((hashes >> _U(32)) * _U(owners) >> _U(32)).astype(np.int64)
                 low = (hashes & _U(0xFFFFFFFF)).astype(np.uint32)
                 starts = np.flatnonzero(np.diff(owner, prepend=-1))
-                sent = [low[a:b].tobytes() for a, b in zip(starts, [*starts[1:], len(low)], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(owner[starts]), pa.array([sender] * len(sent), pa.int64()), pa.array(sent, pa.binary())], names=["owner", "sender", "sent"])
+                cuts = list(zip(starts, [*starts[1:], len(low)], strict=True))
+                sent, nodes = ([x[a:b].tobytes() for a, b in cuts] for x in (low, bits))
+                yield pa.RecordBatch.from_arrays([pa.array(owner[starts]), pa.array([sender] * len(sent), pa.int64()), pa.array(sent, pa.binary()), pa.array(nodes, pa.binary())], names=["owner", "sender", "sent", "nodes"])
 
     return send
 
 
 def _mark(table: pa.Table) -> pa.Table:
     # several of a sender's hashes may have the same low bits; that only marks more
-    sent = [np.frombuffer(x, np.uint32) for x in table["sent"].to_pylist()]
-    values, counts = np.unique(np.concatenate(sent), return_counts=True)
-    twice = values[counts > 1]
+    sent, nodes = ([np.frombuffer(x, np.uint32) for x in table[c].to_pylist()] for c in ("sent", "nodes"))
+    every = np.concatenate(sent).astype(np.uint64) << _U(32) | np.concatenate(nodes)
+    every.sort()
+    low, node = every >> _U(32), every & _U(0xFFFFFFFF)
+    same = low[1:] == low[:-1]
+    twice = np.unique(low[1:][same & ((node[1:] != node[:-1]) | (node[1:] == 0))]).astype(np.uint32)
     at = [np.searchsorted(twice, x) for x in sent]
     bits = [np.packbits((i < len(twice)) & (twice[np.minimum(i, len(twice) - 1)] == x)).tobytes() if len(twice) else bytes(-(-len(x) // 8)) for i, x in zip(at, sent, strict=True)]
     return pa.table({"sender": table["sender"], "owner": table["owner"], "n_sent": pa.array([len(x) for x in sent], pa.int32()), "bits": pa.array(bits, pa.binary())})
@@ -105,25 +122,25 @@ def _mark(table: pa.Table) -> pa.Table:
 def _let_go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(batch.num_rows):
-            key, sure = batch["key"][i].as_py(), batch["sure"][i].as_py()
+            key, sure, own = (batch[c][i].as_py() for c in ("key", "sure", "who"))
             who, pos, node, n = (np.frombuffer(batch[c][i].as_py(), t) for c, t in (("who", np.int32), ("pos", np.int32), ("node", np.int64), ("n", np.int64)))
-            _, of = _different(key, sure)
+            _, of, several = _different(key, sure, own)
             replies = sorted(batch["replies"][i].as_py(), key=lambda r: r["owner"])
             marked = np.concatenate([np.unpackbits(np.frombuffer(r["bits"], np.uint8))[: r["n_sent"]] for r in replies]).astype(bool)
-            go = (marked | (np.bincount(of) > 1))[of]
+            go = (marked | several)[of]
             columns = [np.frombuffer(key, np.int64)[go], node[who[go]], n[who[go]], np.frombuffer(sure, bool)[go], pos[go]]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["key", "node", "n", "sure", "pos"])
 
 
 def sharing_rows(source: DataFrame, rows: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
-    """Of what `rows` makes of source's batches, (key, node, n, sure, pos), those that may share (key, sure) with another row, each once.
+    """Of what `rows` makes of source's batches, (key, node, n, sure, pos), those that may share (key, sure) with a row of another node, each once.
 
     A node has one n, and one pos with a key.
     """
     packed = materialize(source.mapInArrow(_pack(rows), "sender long, size long, key binary, who binary, sure binary, pos binary, node binary, n binary"), "packed")
     total = packed.agg(F.sum("size")).first()[0] or 0
     owners = max(1, min(shuffle_partitions(source.sparkSession), math.ceil(total / 1024)), math.ceil(total / OWNED))
-    messages = packed.select("sender", "key", "sure").mapInArrow(_send(owners), "owner long, sender long, sent binary")
+    messages = packed.select("sender", "key", "sure", "who", "node").mapInArrow(_send(owners), "owner long, sender long, sent binary, nodes binary")
     replies = messages.groupBy("owner").applyInArrow(_mark, "sender long, owner long, n_sent int, bits binary")
     replies = materialize(replies.groupBy("sender").agg(F.collect_list(F.struct("owner", "n_sent", "bits")).alias("replies")), "replies")
     rows = packed.drop("size").join(replies.hint("broadcast" if total <= REPLIES else "merge"), "sender").mapInArrow(_let_go, ROWS)

@@ -19,6 +19,7 @@ table gives no rows. Other columns are not looked at, whatever their names.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -79,15 +80,20 @@ def signatures(hashes: np.ndarray, begins: np.ndarray) -> np.ndarray:
     return out.T
 
 
-def line_sets(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Shingles and their begins, as `shingles`; and each line's different ones, ascending, with their begins."""
+def sizes(hashes: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """For each of fewer than 2**20 lines, how many different shingles it has, by 44 bits of them."""
+    line = np.repeat(np.arange(len(begins) - 1, dtype=np.uint64), np.diff(begins))
+    tagged = (line << _U(44)) | (hashes >> _U(20))
+    tagged.sort()
+    new = np.ones(len(tagged), bool)
+    new[1:] = tagged[1:] != tagged[:-1]
+    return np.bincount((tagged[new] >> _U(44)).astype(np.int64), minlength=len(begins) - 1)
+
+
+def line_sets(lines: list[str]) -> list[np.ndarray]:
+    """Each line's different shingles, ascending."""
     hashes, begins = shingles(lines)
-    line = np.repeat(np.arange(len(lines)), np.diff(begins))
-    order = np.lexsort((hashes, line))
-    members, line = hashes[order], line[order]
-    new = np.ones(len(members), bool)
-    new[1:] = (members[1:] != members[:-1]) | (line[1:] != line[:-1])
-    return hashes, begins, members[new], np.concatenate(([0], np.cumsum(np.bincount(line[new], minlength=len(lines)))))
+    return [np.unique(hashes[a:b]) for a, b in itertools.pairwise(begins.tolist())]
 
 
 def _distinct(batch: pa.RecordBatch) -> Iterator[list[str]]:
@@ -111,7 +117,7 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, node, n, sure, pos) of a batch's different lines; n is the number of different shingles."""
     for batch in batches:
         for lines in (x for part in _distinct(batch) for x in _groups(part)):
-            hashes, begins, _, bounds = line_sets(lines)
+            hashes, begins = shingles(lines)
             values = signatures(hashes, begins).astype(np.uint64).reshape(len(lines), BANDS, ROWS)
             keys = np.zeros((len(lines), BANDS), np.uint64)
             for r in range(ROWS):
@@ -119,7 +125,7 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 keys ^= keys >> _U(31)
             keys = mix(keys + np.arange(BANDS, dtype=np.uint64))
             nodes = np.array([name(x) for x in lines], np.int64)
-            columns = [keys.reshape(-1).view(np.int64), np.repeat(nodes, BANDS), np.repeat(np.diff(bounds), BANDS), np.zeros(keys.size, bool), np.zeros(keys.size, np.int32)]
+            columns = [keys.reshape(-1).view(np.int64), np.repeat(nodes, BANDS), np.repeat(sizes(hashes, begins), BANDS), np.zeros(keys.size, bool), np.zeros(keys.size, np.int32)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "node", "n", "sure", "pos"])
 
 
@@ -128,7 +134,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = Counts()
     for batch in batches:
         for lines in _groups(batch["members"].to_pylist()):
-            counts.add(line_sets(lines)[2])
+            counts.add(np.concatenate(line_sets(lines)))
     yield pa.RecordBatch.from_arrays(counts.columns(), names=["segment", "part", "counts"])
 
 
@@ -138,8 +144,7 @@ def _first(sketch):
         level = np.frombuffer(sketch.value, np.uint8)
         for batch in batches:
             for lines in _groups(batch["members"].to_pylist()):
-                _, _, members, bounds = line_sets(lines)
-                yield list_rows([(first_members(members[a:b], level, NUM, DEN), name(x), int(b - a), False) for x, a, b in zip(lines, bounds, bounds[1:], strict=False)])
+                yield list_rows([(first_members(m, level, NUM, DEN), name(x), len(m), False) for x, m in zip(lines, line_sets(lines), strict=True)])
 
     return first
 
@@ -182,10 +187,8 @@ def _fitting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         lines[line] = len(lines)
                         size += len(line)
                 end += 1
-            _, _, members, bounds = line_sets(list(lines))
-            for a, b in zip(sa[at:end], sb[at:end], strict=True):
-                i, j = lines[a], lines[b]
-                fits.append(reach_similarity(members[bounds[i] : bounds[i + 1]], members[bounds[j] : bounds[j + 1]], NUM, DEN))
+            sets = line_sets(list(lines))
+            fits += [reach_similarity(sets[lines[a]], sets[lines[b]], NUM, DEN) for a, b in zip(sa[at:end], sb[at:end], strict=True)]
             at = end
         yield batch.select(["a", "b"]).filter(pa.array(fits, pa.bool_()))
 

@@ -44,6 +44,8 @@ from .exchange import sharing_rows
 
 #: Rows of an inverted list that cost as much as one row of a subset; sketch counters (16 bit each) in SEGMENTS parts; rows of a list whose pairs are all looked at; pivots of a longer one.
 VERIFY, COUNTERS, SEGMENTS, LONG, PIVOTS = 8, 1 << 22, 64, 16, 4
+#: Nodes that a task remembers, not to list their copies.
+COPIES = 1 << 16
 #: Rows of two longs that are broadcast at most; beyond, both sides are shuffled.
 BROADCAST = 1_000_000
 #: Code points of text that are hashed at once, and rows that are turned into Python strings at once.
@@ -222,13 +224,17 @@ def _keys(width: int, num: int, den: int, limit: int, sketch):
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = np.frombuffer(sketch.value, np.uint8)
+        seen: set[int] = set()  # copies that come soon after are not listed again
         for batch in batches:
             out: list[tuple] = []
             for _, members in sets_of(batch, width):
                 n = len(members)
-                if not n:
-                    continue
                 node = node_of(members)
+                if not n or node in seen:
+                    continue
+                if len(seen) >= COPIES:
+                    seen.clear()
+                seen.add(node)
                 if n not in sizes:
                     sizes[n] = [(b, overlap(n, b, num, den)) for b in partners(n, num, den) if min(n, b) <= limit and not (b == n == overlap(n, b, num, den)) and overlap(n, b, num, den) <= min(n, b)]
                 for b, share in sizes[n]:
