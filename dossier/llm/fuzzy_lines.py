@@ -33,7 +33,7 @@ from .common import free_names, hash_filter, materialize, passes, release
 from .ngram_join import Counts, bounded, first_members, linked_nodes, list_rows, listed_rows, mix, reach_similarity, summed
 
 SHINGLE, NUM, DEN = 8, 80, 100
-BANDS, ROWS = 16, 5
+BANDS, ROWS = 12, 4
 _U, _V = np.uint64, np.uint32
 _RNG = np.random.default_rng(11)
 _TURNS = _RNG.integers(1, 1 << 32, BANDS * ROWS, dtype=np.uint32) | _V(1)
@@ -93,7 +93,11 @@ def sizes(hashes: np.ndarray, begins: np.ndarray) -> np.ndarray:
 def line_sets(lines: list[str]) -> list[np.ndarray]:
     """Each line's different shingles, ascending."""
     hashes, begins = shingles(lines)
-    return [np.unique(hashes[a:b]) for a, b in itertools.pairwise(begins.tolist())]
+    out = []
+    for a, b in itertools.pairwise(begins.tolist()):
+        members = np.sort(hashes[a:b])
+        out.append(members[np.concatenate(([True], members[1:] != members[:-1]))])
+    return out
 
 
 def _distinct(batch: pa.RecordBatch) -> Iterator[list[str]]:
@@ -199,31 +203,35 @@ def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("row"))
     listed = listed_rows(slim.select("text"), _bands, NUM, DEN)
 
+    nodes = materialize(listed.select("node").distinct(), "wanted")
+    bits = spark.sparkContext.broadcast(hash_filter(nodes, "node"))
+    named = slim.select("text").mapInArrow(_named(bits), "node long, members string")
+    known = materialize(named.join(bounded(nodes), "node", "left_semi").groupBy("node").agg(F.min("members").alias("members")), "lines")
+
     def fetch(wanted: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
         wanted = materialize(wanted, "wanted")
-        bits = spark.sparkContext.broadcast(hash_filter(wanted, "node"))
-        named = slim.select("text").mapInArrow(_named(bits), "node long, members string")
-        return named.join(bounded(wanted), "node", "left_semi").groupBy("node").agg(F.min("members").alias("members")), [wanted]
+        return known.join(bounded(wanted), "node", "left_semi"), [wanted]
 
     def relist(nodes: DataFrame) -> DataFrame:
         lines, behind = fetch(nodes)
-        lines = materialize(lines, "lines")
         sketch = summed(lines.select("members").mapInArrow(_counted, Counts.COLUMNS))
         out = listed_rows(lines.select("members"), _first(spark.sparkContext.broadcast(sketch)), NUM, DEN)
-        release(lines, *behind)
+        release(*behind)
         return out
 
     edges = linked_nodes(listed, fetch, lambda pairs: pairs.mapInArrow(_fitting, "a long, b long"), NUM, DEN, relist)
-    found = components(edges).select(F.col("id").alias("node"), F.col("root").alias("component"))
+    found = materialize(components(edges).select(F.col("id").alias("node"), F.col("root").alias("component")), "found")
+    release(nodes, known)
 
     places = materialize(slim.mapInArrow(_places, "node long, doc_id long, row long, line long"), "places")
-    lines = places.where("line >= 0")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line", "row"))
-    nodes = lines.groupBy("node").agg(F.count("*").alias("c"), first.alias("first")).join(found, "node", "left")
-    nodes = materialize(nodes.where("c > 1 OR component IS NOT NULL").select("node", F.coalesce("component", "node").alias("component"), "first"), "nodes")
-    kept = nodes.groupBy("component").agg(F.min("first").alias("kept"))
-    kept = materialize(nodes.join(kept, "component").select("node", "kept"), "kept")
-    gone = lines.join(bounded(kept), "node").where(~(F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("line") == F.col("kept.line")) & (F.col("row") == F.col("kept.row"))))
+    lines = places.where("line >= 0").select("node", "doc_id", "row", "line")
+    nodes = lines.groupBy("node").agg(F.count("*").alias("c"), F.min("doc_id").alias("doc")).join(found, "node", "left").where("c > 1 OR component IS NOT NULL")
+    nodes = materialize(nodes.select("node", F.coalesce("component", "node").alias("component"), "doc"), "nodes")
+    firsts = nodes.groupBy("component").agg(F.min("doc").alias("doc"))  # a null doc_id is the least only if there is no other
+    nodes = materialize(nodes.select("node", "component").join(firsts, "component"), "nodes")
+    shared = materialize(lines.join(bounded(nodes), "node").select("component", "doc", "doc_id", "row", "line"), "shared")
+    kept = shared.where("doc_id <=> doc").groupBy("component").agg(F.min(F.struct("line", "row")).alias("kept"))
+    gone = shared.join(kept, "component").where(~(F.col("doc_id").eqNullSafe(F.col("doc")) & (F.col("line") == F.col("kept.line")) & (F.col("row") == F.col("kept.row"))))
     gone = gone.groupBy("doc_id", "row").agg(F.array_sort(F.collect_set("line")).alias("removed"))
     every = places.where("line < 0").select("doc_id", "row", F.col("node").alias("n_lines"))
     out = every.join(gone, every["doc_id"].eqNullSafe(gone["doc_id"]) & (every["row"] == gone["row"]), "left")
