@@ -44,7 +44,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     before = spark.conf.get(_CLEANUP)
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "snappy").option("parquet.enable.dictionary", "false").parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
     atexit.register(_remove_at_exit, spark, path)
