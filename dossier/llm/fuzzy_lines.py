@@ -180,28 +180,30 @@ def _named(bits):
 def _fitting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of lines whose sets of shingles reach the similarity."""
     for batch in batches:
-        sa, sb, fits = batch["sa"].to_pylist(), batch["sb"].to_pylist(), []
         at = 0
-        while at < len(sa):
-            end, lines = at, {}
-            size = 0
-            while end < len(sa) and (end == at or size <= 16 * BATCH):
-                for line in (sa[end], sb[end]):
+        while at < batch.num_rows:
+            part = batch.slice(at, 256)
+            lines: dict[str, int] = {}
+            pairs, size = [], 0
+            for a, b in zip(part["sa"], part["sb"], strict=True):
+                for line in (a := a.as_py(), b := b.as_py()):
                     if line not in lines:
                         lines[line] = len(lines)
                         size += len(line)
-                end += 1
+                pairs.append((lines[a], lines[b]))
+                if size > 8 * BATCH:
+                    break
             sets = line_sets(list(lines))
-            fits += [reach_similarity(sets[lines[a]], sets[lines[b]], NUM, DEN) for a, b in zip(sa[at:end], sb[at:end], strict=True)]
-            at = end
-        yield batch.select(["a", "b"]).filter(pa.array(fits, pa.bool_()))
+            fits = pa.array([reach_similarity(sets[i], sets[j], NUM, DEN) for i, j in pairs], pa.bool_())
+            yield part.slice(0, len(pairs)).select(["a", "b"]).filter(fits)
+            at += len(pairs)
 
 
 def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One row for each different row of docs (doc_id, row): n_lines and removed."""
     spark = docs.sparkSession
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("row"))
-    listed = listed_rows(slim.select("text"), _bands, NUM, DEN)
+    listed = listed_rows(slim.select("text"), _bands, NUM, DEN, placed=False)
 
     nodes = materialize(listed.select("node").distinct(), "wanted")
     bits = spark.sparkContext.broadcast(hash_filter(nodes, "node"))

@@ -43,7 +43,7 @@ from .common import free_names, materialize, release
 from .exchange import sharing_rows
 
 #: Rows of an inverted list that cost as much as one row of a subset; sketch counters (16 bit each) in SEGMENTS parts; rows of a list whose pairs are all looked at; pivots of a longer one.
-VERIFY, COUNTERS, SEGMENTS, LONG, PIVOTS = 8, 1 << 22, 64, 16, 4
+VERIFY, COUNTERS, SEGMENTS, LONG, PIVOTS = 8, 1 << 22, 64, 32, 4
 #: Nodes that a task remembers, not to list their copies.
 COPIES = 1 << 16
 #: Rows of two longs that are broadcast at most; beyond, both sides are shuffled.
@@ -299,24 +299,36 @@ def _fits(a: Column, b: Column, num: int, den: int) -> Column:
     return F.least(a, b) * den >= F.greatest(a, b) * num
 
 
-def listed_rows(source: DataFrame, rows, num: int, den: int) -> DataFrame:
-    """What `rows` makes of source's batches, (key, node, n, sure, pos), where the list has partners for the row, with the list's length m and PIVOTS of its rows.
+def listed_rows(source: DataFrame, rows, num: int, den: int, placed: bool = True) -> DataFrame:
+    """What `rows` makes of source's batches, (key, node, n, sure, pos), where the list has partners for the row, with the list's length m.
 
-    reach is the size of the largest partner that a row may have in its list. A sure list's pivots are of its smallest
-    size: the sets of that size link with all others, but larger ones need not link with each other.
+    reach is the size of the largest partner that a row may have in its list. Where all rows are at place 0, placed is False.
     """
-    entries = sharing_rows(source, rows)
-    placed = entries.withColumn("reach", F.expr(f"(n - pos) * {num + den}L div {num}L - n"))
-    spans = placed.groupBy("key", "sure").agg(F.min("n").alias("least"), F.max("reach").alias("most"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo != hi").drop("lo", "hi")
-    alive = materialize(placed.join(spans, ["key", "sure"]).where("reach >= least AND n <= most").select("key", "sure", "node", "n", "pos", "reach"), "alive")
+    alive = entries = sharing_rows(source, rows)
+    alive = alive.withColumn("reach", F.expr(f"(n - pos) * {num + den}L div {num}L - n"))
+    if placed:
+        spans = alive.groupBy("key", "sure").agg(F.min("n").alias("least"), F.max("reach").alias("most"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo != hi").drop("lo", "hi")
+        alive = materialize(alive.join(spans, ["key", "sure"]).where("reach >= least AND n <= most").drop("least", "most"), "alive")
+        release(entries)
+        entries = alive
+    lists = alive.groupBy("key", "sure").agg(F.count("*").alias("m")).where("m > 1")
+    listed = materialize(alive.join(lists, ["key", "sure"]), "listed")
     release(entries)
-    draws = [F.min(F.struct(F.when(F.col("sure"), F.col("n")).alias("size"), "pos", F.xxhash64(F.lit(j), "node"), "node", "n", "reach")).alias(f"p{j}") for j in range(PIVOTS)]
-    lists = alive.groupBy("key", "sure").agg(F.count("*").alias("m"), *draws).where("m > 1")
-    listed = materialize(alive.join(lists, ["key", "sure"]).drop("pos"), "listed")
-    release(alive)
     return listed
 
 
+def _starred(listed: DataFrame) -> DataFrame:
+    """Rows of sure and of long lists with a pivot p each, PIVOTS rows for one of a long list.
+
+    Pivots have the list's member far in front. A sure list's pivot is of its smallest size: the sets of that size link
+    with all others, but larger ones need not link with each other.
+    """
+    star = listed.where(F.col("sure") | (F.col("m") > LONG))
+    draws = [F.min(F.struct(F.when(F.col("sure"), F.col("n")).alias("size"), "pos", F.xxhash64(F.lit(j), "node"), "node", "n", "reach")).alias(f"p{j}") for j in range(PIVOTS)]
+    pivots = star.groupBy("key", "sure").agg(*draws).withColumn("p", F.explode(F.when(F.col("sure"), F.array("p0")).otherwise(F.array(*[f"p{j}" for j in range(PIVOTS)]))))
+    return star.join(pivots.select("key", "sure", "p").distinct(), ["key", "sure"])
+
+
 def linked_nodes(listed: DataFrame, fetch: Callable[[DataFrame], tuple[DataFrame, list[DataFrame]]], verify: Callable[[DataFrame], DataFrame], num: int, den: int, relist: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Edges (a, b) between nodes of common lists that `verify` lets through; those within components may be left out. Releases listed.
 
@@ -325,9 +337,7 @@ def linked_nodes(listed: DataFrame, fetch: Callable[[DataFrame], tuple[DataFrame
     rows in narrower lists, which have all their linking pairs in common; without it the long lists' open pairs are looked at.
     """
     may = lambda n, reach, n2, reach2: _fits(n, n2, num, den) & (n <= reach2) & (n2 <= reach)
-    star = listed.where(F.col("sure") | (F.col("m") > LONG))
-    pivots = F.explode(F.when(F.col("sure"), F.array("p0")).otherwise(F.array(*[f"p{j}" for j in range(PIVOTS)])))
-    star = star.select("node", "n", "reach", pivots.alias("p")).where(may(F.col("n"), F.col("reach"), F.col("p.n"), F.col("p.reach")))
+    star = _starred(listed).where(may(F.col("n"), F.col("reach"), F.col("p.n"), F.col("p.reach")))
     short = listed.where(~F.col("sure") & (F.col("m") <= LONG)).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("n", "node", "reach"))).alias("l"))
     partners_ = F.filter("l", lambda y: (y["node"] != F.col("x.node")) & (y["n"] >= F.col("x.n")) & may(y["n"], y["reach"], F.col("x.n"), F.col("x.reach")))
     short = short.select("l", F.explode("l").alias("x")).select("x", F.explode(partners_).alias("y"))
