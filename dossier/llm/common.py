@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators.tables import materialize, release
 
-__all__ = ["SPACE", "WORD", "free_names", "hash_filter", "materialize", "normalized_space", "ordinal", "passes", "release", "shuffle_partitions"]
+__all__ = ["SPACE", "WORD", "free_names", "hash_filter", "materialize", "normalized_space", "ordinal", "passes", "release", "shuffle_partitions", "small_batches"]
 
 #: The white space that the operators' contracts mean, as a regular expression class.
 SPACE = r"[\x20\x09-\x0D]"
@@ -21,6 +21,12 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """Python gets texts in batches of `rows`, not of 10,000, which may be long: bounds what JVM and Python hold of them at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(key, str(min(rows, int(spark.conf.get(key)) or rows)))
+
+
 def free_names(columns: Iterable[str], *names: str) -> list[str]:
     """The names, each with underscores before it until no column is called so, upper and lower case being the same."""
     taken = {c.lower() for c in columns}
