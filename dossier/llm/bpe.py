@@ -7,6 +7,9 @@ leaves, once the encodings of all prefixes still open agree on it. `lookahead` b
 lie behind: no more merges than the list has can run over a boundary, each no longer than the longest
 token. That bounds the memory whatever a word's length; in practice tokens leave after a few symbols.
 
+Every word goes through the transducer; a worker keeps what it gave for recent words, and where it stood after common
+beginnings of words.
+
 Decoding is a state machine as well: ids go in one by one, text comes out as soon as it is certain.
 With a tokenizer file without a decoder the text is the tokens' strings joined by spaces, as the
 tokenizers library gives it; `byte_text` inverts the byte alphabet and holds back incomplete UTF-8.
@@ -28,14 +31,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words of a worker's memo before it starts anew.
-MEMO = 500_000
-#: Symbols between two looks for stable tokens.
-STEP = 512
-#: Longer pieces between white space pass the memo by.
+#: Words that a worker's memo takes before the ones of before go; pairs of tokens, and states, that it knows.
+MEMO, PAIRS, STATES = 120_000, 200_000, 50_000
+#: Symbols between two looks for stable tokens; first symbols whose state is kept.
+STEP, AHEAD = 512, 6
+#: Longer words pass the memo by.
 MEMO_CHARS = 200
-#: Symbols up to which a word is looked at from its end.
-SHORT = 64
 _SPACES = regex.compile(r"[\t-\r \x85\xa0  -     　]+")
 _NEVER = 1 << 60
 _ODD = regex.compile(r"[\x1c-\x1f]")
@@ -48,6 +49,25 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
 
 
+class _Ends(dict):
+    """Three symbols, or fewer, to the lengths of the tokens that end in them or are part of their end."""
+
+    def __missing__(self, end: str) -> tuple[int, ...]:
+        found = self[end[1:]] if len(end) > 1 else ()
+        if len(self) < PAIRS:
+            self[end] = found
+        return found
+
+
+def _ends(tokens: set[str]) -> _Ends:
+    lengths: dict[str, set[int]] = {}
+    for t in tokens:
+        for k in range(1, min(len(t), 3) + 1):
+            lengths.setdefault(t[-k:], set()).add(len(t))
+    # a longer end knows its own tokens and the shorter ones that it ends in
+    return _Ends({end: tuple(sorted(own | {k for j in range(1, len(end)) for k in lengths.get(end[-j:], ()) if k <= j}, reverse=True)) for end, own in lengths.items()})
+
+
 class Bpe:
     """A tokenizers file of kind BPE with word ends, NFC and lower case, byte alphabet, and special tokens."""
 
@@ -76,12 +96,12 @@ class Bpe:
             elif self.merge(list(token)) == [token]:
                 self.inner.add(token)
         self.longest = max(len(t.removesuffix(self.end)) for t in self.inner | self.final)
-        # the longest token that ends in these two symbols, or in this one; no other start needs a look
-        self.reach: dict[str, int] = {}
-        for t in self.inner:
-            self.reach[t[-2:]] = max(self.reach.get(t[-2:], 1), len(t))
+        # lengths, descending, of the tokens that end in these symbols (three, or all of a shorter start); no other start needs a look
+        self.inner_ends, self.final_ends = _ends(self.inner), _ends({t[: -len(self.end)] if self.end else t for t in self.final})
         self.lookahead = len(pairs) * self.longest
         self.pairs: dict[tuple[str, str], bool] = {}
+        self.states: dict[str, tuple[tuple, tuple]] = {}  # where the transducer stands after a word's first AHEAD symbols
+        self.written = {t: str(i) for t, i in self.vocab.items()}
         self.memo = _Memo(self)
 
     def merge(self, symbols: list[str]) -> list[str]:
@@ -124,23 +144,30 @@ class Bpe:
                 i += 1
             else:
                 j += 1
-        if len(self.pairs) > MEMO:
+        if len(self.pairs) > PAIRS:
             self.pairs.clear()
         self.pairs[a, b] = found
         return found
 
     def transduce(self, pieces: Iterable[str]) -> Iterator[str]:
         """Tokens of one word that comes in pieces, in the byte alphabet, each as soon as it is stable."""
-        inner, final, stay, longest, reach, known = self.inner, self.final, self.stay, self.longest, self.reach, self.pairs
+        inner, stay, ends, known = self.inner, self.stay, self.inner_ends, self.pairs
         # of the part that is open: its symbols, and for each prefix its last token and where that begins; base is the last token that has left
         held, last, back, base = "", [""], [0], ""
         i, look = 0, STEP
         for piece in pieces:
             held += piece
+            if not i and len(held) > AHEAD and (state := self.states.get(held[:AHEAD])):
+                i, last, back = AHEAD, [*state[0]], [*state[1]]
             while i < len(held) - 1:  # the word's last symbol is another one, so one is held back
+                if i == AHEAD and not base and len(self.states) < STATES:
+                    self.states.setdefault(held[:AHEAD], ((*last,), (*back,)))
                 i += 1
-                for start in range(max(0, i - reach.get(held[i - 2 : i] if i > 1 else held[:1], 1)), i):
-                    if (token := held[start:i]) in inner and (not (before := last[start] or base) or ((ok := known.get((before, token))) is None and stay(before, token)) or ok):
+                for k in ends[held[i - 3 : i] if i > 3 else held[:i]]:
+                    if (start := i - k) < 0:
+                        continue
+                    token = held[start:i]
+                    if token in inner and (not (before := last[start] or base) or ((ok := known.get((before, token))) is None and stay(before, token)) or ok):
                         last.append(token)
                         back.append(start)
                         break
@@ -153,9 +180,12 @@ class Bpe:
                     look = i + STEP
         if not held:
             return
-        n = len(held)
-        for start in range(max(0, n - longest), n):
-            if (token := held[start:] + self.end) in final and (not (before := last[start] or base) or stay(before, token)):
+        n, final, end = len(held), self.final, self.end
+        for k in self.final_ends[held[n - 3 :] if n > 3 else held]:
+            if (start := n - k) < 0:
+                continue
+            token = held[start:] + end
+            if token in final and (not (before := last[start] or base) or ((ok := known.get((before, token))) is None and stay(before, token)) or ok):
                 break
         out = [token]
         while start:
@@ -187,36 +217,7 @@ class Bpe:
     def tokens(self, word: str) -> list[str]:
         if not (word.isascii() and word.isprintable()):  # printable ASCII stands for itself
             word = word.encode().decode("latin-1").translate(self.bytes)
-        return self._short(word) if len(word) <= SHORT else list(self.transduce((word,)))
-
-    def _short(self, word: str) -> list[str]:
-        """The transducer for a word that is there whole: from its end, looking only at the prefixes that are asked for."""
-        final, n = self.final, len(word)
-        last: list[str | None] = [""] + [None] * n
-        back = [0] * (n + 1)
-        for start in range(max(0, n - self.longest), n):
-            if (token := word[start:] + self.end) in final and (not start or self.stay(last[start] or self._last(word, last, back, start), token)):
-                break
-        out = [token]
-        while start:
-            out.append(last[start])
-            start = back[start]
-        return out[::-1]
-
-    def _last(self, word: str, last: list[str | None], back: list[int], i: int) -> str:
-        """The last token of the prefix of i symbols."""
-        inner, known = self.inner, self.pairs
-        for start in range(max(0, i - self.reach.get(word[i - 2 : i] if i > 1 else word[:1], 1)), i):
-            if (token := word[start:i]) in inner:
-                if start:
-                    before = last[start] or self._last(word, last, back, start)
-                    if (ok := known.get((before, token))) is None:
-                        ok = self.stay(before, token)
-                    if not ok:
-                        continue
-                last[i], back[i] = token, start
-                return token
-        raise ValueError(f"the vocabulary lacks {word[i - 1]!r}")
+        return list(self.transduce((word,)))
 
     def encode_piece(self, piece: str) -> list[int]:
         """Ids of normalised text without white space."""
@@ -250,56 +251,38 @@ class Bpe:
         return out
 
     def encoded(self, text: str) -> tuple[str, str]:
-        """The ids and the decoded text, each joined by spaces, with the memo of pieces."""
+        """The ids and the decoded text, each joined by spaces, with the memo of words."""
         ids, decoded, memo = [], [], self.memo
         for segment, special in self.segments(text):
             if special:
                 ids.append(str(self.special[segment]))
                 decoded.append(segment)
             else:
-                found = list(map(memo.__getitem__, self.pieces(segment)))
+                split = self.split
+                found = [memo[word] for piece in self.pieces(segment) for word in split(piece)]
                 ids += [x for x, _ in found]
                 decoded += [x for _, x in found]
         return " ".join(ids), " ".join(decoded)
 
 
-class _Words(dict):
-    """Word to its joined ids and what they decode to."""
+class _Memo(dict):
+    """What the transducer gave for a word: its joined ids and what they decode to. The words of the last MEMO to 2 * MEMO different ones stay."""
 
     def __init__(self, bpe: Bpe):
-        self.bpe = bpe
+        self.bpe, self.old = bpe, {}
 
     def __missing__(self, word: str) -> tuple[str, str]:
-        ids = [self.bpe.vocab[t] for t in self.bpe.tokens(word)]
-        found = " ".join(map(str, ids)), Decoder(self.bpe).push_all(ids)
+        if (found := self.old.get(word)) is None:
+            tokens = self.bpe.tokens(word)
+            found = " ".join([self.bpe.written[t] for t in tokens]), Decoder(self.bpe).push_all([self.bpe.vocab[t] for t in tokens])
         if len(word) <= MEMO_CHARS:
             if len(self) >= MEMO:
+                self.old = dict(self)
                 self.clear()
             self[word] = found
         return found
 
 
-class _Memo(dict):
-    """Piece between white space to the same, by its words."""
-
-    def __init__(self, bpe: Bpe):
-        self.bpe, self.words = bpe, _Words(bpe)
-
-    def __missing__(self, piece: str) -> tuple[str, str]:
-        words = self.bpe.split(piece)
-        if len(words) == 1:
-            return self.words[words[0]] if len(piece) > MEMO_CHARS else self._keep(piece, self.words[words[0]])
-        each = list(map(self.words.__getitem__, words))
-        found = " ".join([x for x, _ in each]), " ".join([x for _, x in each])
-        return found if len(piece) > MEMO_CHARS else self._keep(piece, found)
-
-    def _keep(self, piece: str, found: tuple[str, str]) -> tuple[str, str]:
-        if len(self) >= MEMO:
-            self.clear()
-        self[piece] = found
-        return found
-
-
 class Decoder:
     """Ids in, text out. As the library: the tokens' strings, joined by spaces. The state is whether a token came before."""
 
