@@ -43,21 +43,41 @@ def extract_phones(spark: SparkSession, d: str) -> DataFrame:
 _HOST = r"regexp_replace(regexp_extract(lower(url), '^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)', 1), '^www\.|\.$', '', 'g')"
 
 
-@query(f""", p AS (SELECT page_id, {_HOST} AS host, regexp_replace(regexp_extract(url, '^[^:/]*:?//[^/?#]*([^?#]*)', 1), '/+$', '') AS path,
-list_sort(list_filter(string_split(regexp_extract(url, '\\?([^#]*)', 1), '&'), lambda x: x <> '' AND split_part(x, '=', 1) NOT IN {tuple(contacts.TRACKING)})) AS q FROM pages)
-SELECT page_id, 'https://' || host || path || CASE WHEN len(q) = 0 THEN '' ELSE '?' || array_to_string(q, '&') END AS canonical FROM p""")
+# web addresses of pages, and of others made from their ids: ports, keys in capitals, repeated keys, advert media
+_URLS = """, u AS (SELECT page_id, url FROM pages UNION ALL SELECT page_id + 1000000, 'HTTP://WWW.Shop' || page_id % 7 || ['.com.ba', '.org.uk', '.rs', '.co.rs'][page_id % 4 + 1] || [':8080', ':443', ''][page_id % 3 + 1]
+|| '/a/b//?b=' || page_id || '&UTM_Source=x&a=2&a=1&utm_medium=' || ['banner', 'email', 'CPC'][page_id % 3 + 1] || '#top' FROM pages) """
+_KEPT = f"""list_transform(list_sort(list_transform(list_filter(string_split(regexp_extract(url, '\\?([^#]*)', 1), '&'), lambda x: x <> '' AND lower(split_part(x, '=', 1)) NOT IN {tuple(contacts.TRACKING)}),
+lambda x, i: {{'k': split_part(x, '=', 1), 'i': i, 'x': x}})), lambda s: s.x)"""
+
+
+def _urls(spark: SparkSession, d: str) -> DataFrame:
+    pages = sources.table(spark, d, "pages").select("page_id", "url")
+    pick = lambda n, *values: F.element_at(F.array(*map(F.lit, values)), (F.col("page_id") % n + 1).cast("int"))
+    made = F.concat(
+        F.lit("HTTP://WWW.Shop"), F.col("page_id") % 7, pick(4, ".com.ba", ".org.uk", ".rs", ".co.rs"), pick(3, ":8080", ":443", ""), F.lit("/a/b//?b="), F.col("page_id"),
+        F.lit("&UTM_Source=x&a=2&a=1&utm_medium="), pick(3, "banner", "email", "CPC"), F.lit("#top"),
+    )
+    return pages.unionByName(pages.select((F.col("page_id") + 1_000_000).alias("page_id"), made.alias("url")))
+
+
+@query(_URLS + f""", p AS (SELECT page_id, {_HOST} AS host, regexp_extract(url, '^[^:/]*:?//(?:[^/?#@]*@)?[^/?#:]*:([0-9]+)', 1) AS port, regexp_replace(regexp_extract(url, '^[^:/]*:?//[^/?#]*([^?#]*)', 1), '/+$', '') AS path, {_KEPT} AS q FROM u)
+SELECT page_id, 'https://' || host || CASE WHEN port IN ('', '80', '443') THEN '' ELSE ':' || port END || path || CASE WHEN len(q) = 0 THEN '' ELSE '?' || array_to_string(q, '&') END AS canonical FROM p""")
 def canonical_urls(spark: SparkSession, d: str) -> DataFrame:
-    return sources.table(spark, d, "pages").select("page_id", contacts.canonical_url(F.col("url")).alias("canonical"))
+    return _urls(spark, d).select("page_id", contacts.canonical_url(F.col("url")).alias("canonical"))
+
+
+_DOMAIN = f"array_to_string(list_slice(string_split(host, '.'), CASE WHEN array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') IN {tuple(contacts.TWO_LABELS)} THEN -3 ELSE -2 END, -1), '.')"
 
 
-@query(f", h AS (SELECT {_HOST} AS host FROM pages) SELECT array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS domain, count(*) AS n FROM h GROUP BY 1")
+@query(_URLS + f", h AS (SELECT {_HOST} AS host FROM u) SELECT {_DOMAIN} AS domain, split_part({_DOMAIN}, '.', 1) AS brand, count(*) AS n FROM h GROUP BY 1, 2")
 def registrable_domain(spark: SparkSession, d: str) -> DataFrame:
-    return sources.table(spark, d, "pages").groupBy(contacts.registrable_domain(contacts.host(F.col("url"))).alias("domain")).agg(F.count("*").alias("n"))
+    host = contacts.host(F.col("url"))
+    return _urls(spark, d).groupBy(contacts.registrable_domain(host).alias("domain"), contacts.brand_label(host).alias("brand")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT page_id, regexp_matches(url, '[?&](gclid|fbclid|utm_[a-z]+)=') AS is_ad FROM pages")
+@query(_URLS + f"SELECT page_id, regexp_matches(regexp_extract(split_part(url, '#', 1), '[?&]utm_medium=([^&]*)', 1), '{contacts.AD_MEDIUM}', 'i') OR regexp_matches(regexp_extract(split_part(url, '#', 1), '[?&]utm_campaign=([^&]*)', 1), '{contacts.AD_MEDIUM}', 'i') AS is_ad FROM u")
 def ad_link_flag(spark: SparkSession, d: str) -> DataFrame:
-    return sources.table(spark, d, "pages").select("page_id", contacts.is_ad_link(F.col("url")).alias("is_ad"))
+    return _urls(spark, d).select("page_id", contacts.is_ad_link(F.col("url")).alias("is_ad"))
 
 
 @query("""SELECT page_id, href, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a\\s[^>]*href="([^"]*)"', 1)) AS href FROM pages) GROUP BY ALL""".replace("\\\\", "\\"))
