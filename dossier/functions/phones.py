@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Operator and service prefixes, and area codes that no gazetteer has.
@@ -18,30 +18,23 @@ CHARACTERS = r"^[\d\s+()./-]+$"
 DATE = r"^(?:\d{1,2}[./-]\d{1,2}[./-]\d{2,4}\.?|\d{4}-\d{1,2}-\d{1,2})$"
 
 
-def cleaned(raw: Column) -> Column:
-    return F.trim(F.regexp_replace(F.trim(F.regexp_replace(raw, r"\s+", " ")), SCHEME, ""))
+def read(frame: DataFrame, raw: str) -> DataFrame:
+    """frame with a struct `phone`: text (trimmed, no scheme), digits, form and national, the number without calling code and trunk zero.
 
-
-def digits(raw: Column) -> Column:
-    return F.regexp_replace(cleaned(raw), r"\D", "")
-
-
-def form(raw: Column) -> Column:
-    """international, country-code, national, or null where nothing says which."""
-    d = digits(raw)
-    return F.when(F.startswith(cleaned(raw), F.lit("+")) | F.startswith(d, F.lit("00")), "international").when(F.startswith(d, F.lit("381")), "country-code").when(F.startswith(d, F.lit("0")), "national")
-
-
-def national(raw: Column) -> Column:
-    """Digits of the national number, without calling code and trunk zero; null for another country's."""
-    d = digits(raw)
-    abroad = F.when(F.startswith(cleaned(raw), F.lit("+")), d).otherwise(F.substr(d, F.lit(3)))
+    form is international, country-code or national, null where nothing says which; national is null for another
+    country's number. The steps are columns of their own, so that each is computed once.
+    """
+    text = F.trim(F.regexp_replace(F.trim(F.regexp_replace(raw, r"\s+", " ")), SCHEME, ""))
+    frame = frame.withColumn("phone", F.struct(text.alias("text")))
+    frame = frame.withColumn("phone", F.struct("phone.text", F.regexp_replace("phone.text", r"\D", "").alias("digits")))
+    t, d = F.col("phone.text"), F.col("phone.digits")
+    plus = F.startswith(t, F.lit("+"))
+    form = F.when(plus | F.startswith(d, F.lit("00")), "international").when(F.startswith(d, F.lit("381")), "country-code").when(F.startswith(d, F.lit("0")), "national")
+    frame = frame.withColumn("phone", F.struct("phone.text", "phone.digits", form.alias("form"), F.when(plus, d).otherwise(F.substr(d, F.lit(3))).alias("abroad")))
     after = lambda x: F.regexp_replace(F.substr(x, F.lit(4)), "^0", "")
-    kind = form(raw)
-    return (
-        F.when((kind == "international") & F.startswith(abroad, F.lit("381")), after(abroad)).when(kind == "country-code", after(d))
-        .when(kind == "national", F.substr(d, F.lit(2)))
-    )
+    abroad, form = F.col("phone.abroad"), F.col("phone.form")
+    national = F.when((form == "international") & F.startswith(abroad, F.lit("381")), after(abroad)).when(form == "country-code", after(d)).when(form == "national", F.substr(d, F.lit(2)))
+    return frame.withColumn("phone", F.struct("phone.text", "phone.digits", "phone.form", national.alias("national")))
 
 
 def area_code(number: Column, areas: Sequence[str] = AREAS) -> Column:
@@ -64,24 +57,26 @@ def is_run(number: Column) -> Column:
     return (F.length(number) >= 8) & (F.contains(F.lit("0123456789"), number) | F.contains(F.lit("9876543210"), number))
 
 
-def error(raw: Column) -> Column:
-    """Why a text is no number to call, or null. The first reason counts."""
-    d, n = digits(raw), national(raw)
+def error(phone: Column) -> Column:
+    """Why what `read` gave is no number to call, or null. The first reason counts."""
+    t, d, n = phone["text"], phone["digits"], phone["national"]
     return (
-        F.when(d == "", "empty").when(cleaned(raw).rlike(DATE), "date").when(~cleaned(raw).rlike(CHARACTERS), "not-a-number").when(F.length(d) < 8, "too-short").when(F.length(d) > 15, "too-long")
-        .when(form(raw).isNull(), "ambiguous-national-number").when(n.isNull(), "foreign").when(n.rlike(r"^(\d)\1+$") | n.rlike(r"(\d)\1{5}$"), "repeated-digits").when(is_run(n), "sequential-digits")
+        F.when(d == "", "empty").when(t.rlike(DATE), "date").when(~t.rlike(CHARACTERS), "not-a-number").when(F.length(d) < 8, "too-short").when(F.length(d) > 15, "too-long")
+        .when(phone["form"].isNull(), "ambiguous-national-number").when(n.isNull(), "foreign").when(n.rlike(r"^(\d)\1+$") | n.rlike(r"(\d)\1{5}$"), "repeated-digits").when(is_run(n), "sequential-digits")
         .when(kind(n).isNull(), "invalid-for-region")
     )
 
 
-def normalized(raw: Column, areas: Sequence[str] = AREAS) -> Column:
-    """struct(e164, type, area_code, confidence, error): the first four are null where there is an error."""
-    n, why = national(raw), error(raw)
-    landline, placed = kind(n) == "landline", area_code(n, areas).isin([f"0{a}" for a in areas])
-    sure = F.when(form(raw) == "national", 95).otherwise(100) - F.when(landline & ~placed, 15).otherwise(0) - F.when(n.rlike(r"(\d)\1{3,}"), 5).otherwise(0)
-    code = area_code(n, areas)
-    fine = lambda c: F.when(why.isNull(), c)
-    return F.struct(fine(F.concat(F.lit("+381"), n)).alias("e164"), fine(kind(n)).alias("type"), fine(F.when(code != "0", code)).alias("area_code"), fine(sure / 100).alias("confidence"), why.alias("error"))
+def normalized(frame: DataFrame, raw: str, areas: Sequence[str] = AREAS) -> DataFrame:
+    """frame with e164, type, area_code, confidence, which are null where there is an error, and error."""
+    frame = read(frame, raw)
+    n = F.col("phone.national")
+    frame = frame.withColumn("error", error(F.col("phone"))).withColumn("type", F.when(F.col("error").isNull(), kind(n))).withColumn("area_code", F.when(F.col("error").isNull(), area_code(n, areas)))
+    unplaced = (F.col("type") == "landline") & ~F.col("area_code").isin([f"0{a}" for a in areas])
+    sure = F.when(F.col("phone.form") == "national", 95).otherwise(100) - F.when(unplaced, 15).otherwise(0) - F.when(n.rlike(r"(\d)\1{3,}"), 5).otherwise(0)
+    fine = lambda c: F.when(F.col("error").isNull(), c)
+    out = frame.withColumn("e164", fine(F.concat(F.lit("+381"), n))).withColumn("confidence", fine(sure / 100))
+    return out.withColumn("area_code", F.when(F.col("area_code") != "0", F.col("area_code"))).drop("phone")
 
 
 def landline_block(e164: Column, areas: Sequence[str] = AREAS) -> Column:

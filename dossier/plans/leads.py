@@ -50,15 +50,30 @@ def matching(spark: SparkSession, d: str, q: LeadQuery) -> DataFrame:
 
 
 def page(spark: SparkSession, d: str, q: LeadQuery) -> DataFrame:
-    """One page of leads with their phones and sources; only the page's leads are aggregated."""
+    """One page of leads with their phones and sources, in the list's order; a page beyond the last is the last. Only the page's leads are aggregated.
+
+    The page's ids, 200 at most, come to the driver, so that list and aggregates don't plan the search twice.
+    """
     if q.sort not in SORT_KEYS:
         raise ValueError(f"no sort key {q.sort}")
     size = max(1, min(200, q.page_size))
     key = F.desc(q.sort) if q.descending else F.asc(q.sort)
-    rows = matching(spark, d, q).orderBy(key, "id").offset((max(1, q.page) - 1) * size).limit(size).select("id", "name", "municipality_id", "classification", "score")
-    seen = sources.phones(spark, d).withColumnRenamed("lead_id", "id").join(F.broadcast(rows.select("id")), "id", "left_semi")  # a page has 200 rows at most
+    found = matching(spark, d, q).select("id", "name", "municipality_id", "classification", "score")
+    at = max(1, q.page) - 1
+    rows = found.orderBy(key, "id").offset(at * size).limit(size).collect()
+    if not rows and at:
+        at = max(0, -(-found.count() // size) - 1)
+        rows = found.orderBy(key, "id").offset(at * size).limit(size).collect()
+    rows = spark.createDataFrame(rows, found.schema).coalesce(1)
+    seen = sources.phones(spark, d).withColumnRenamed("lead_id", "id").join(F.broadcast(rows.select("id")), "id", "left_semi")
     per = seen.groupBy("id").agg(F.count_distinct("source_id").alias("n_sources"), F.count_distinct(F.when(F.col("valid"), F.col("e164"))).alias("n_phones"))
-    return rows.join(per, "id", "left").na.fill(0, ["n_sources", "n_phones"])
+    return rows.join(per, "id", "left").na.fill(0, ["n_sources", "n_phones"]).orderBy(key, "id")
+
+
+def page_count(spark: SparkSession, d: str, q: LeadQuery) -> DataFrame:
+    """total and pages of a search."""
+    size = max(1, min(200, q.page_size))
+    return matching(spark, d, q).agg(F.count("*").alias("total")).select("total", F.greatest(F.ceil(F.col("total") / size), F.lit(1)).cast("long").alias("pages"))
 
 
 _PAGE = """, page AS (SELECT id, name, municipality_id, classification, score FROM active {where} ORDER BY {order}, id LIMIT {limit} OFFSET {offset})
@@ -71,6 +86,17 @@ def list_leads_page(spark: SparkSession, d: str) -> DataFrame:
     return page(spark, d, LeadQuery(has_phone=True, min_score=100))
 
 
+@query("SELECT count(*) AS total, greatest(CAST(ceil(count(*) / 50.0) AS BIGINT), 1) AS pages FROM active WHERE score >= 100")
+def list_leads_count(spark: SparkSession, d: str) -> DataFrame:
+    return page_count(spark, d, LeadQuery(min_score=100))
+
+
+@query(_PAGE.format(where="", order="score DESC", limit=50, offset=0).replace("OFFSET 0", "OFFSET (SELECT greatest((count(*) - 1) // 50, 0) * 50 FROM active)"))
+def list_leads_last_page(spark: SparkSession, d: str) -> DataFrame:
+    """A page far beyond the last one is the last one."""
+    return page(spark, d, LeadQuery(page=9999))
+
+
 @query(_PAGE.format(where="", order="name", limit=50, offset=50 * 7))
 def list_leads_deep_page(spark: SparkSession, d: str) -> DataFrame:
     return page(spark, d, LeadQuery(sort="name", descending=False, page=8))

@@ -36,23 +36,25 @@ def _raw(spark: SparkSession, d: str) -> DataFrame:
 CASE WHEN error IS NULL THEN (CASE WHEN form = 'national' THEN 95 ELSE 100 END - CASE WHEN kind = 'landline' AND code NOT IN {_AREAS} THEN 15 ELSE 0 END
 - CASE WHEN regexp_matches(num, '0000|1111|2222|3333|4444|5555|6666|7777|8888|9999') THEN 5 ELSE 0 END) / 100.0::DOUBLE END AS confidence, error FROM e""")
 def normalized_phones(spark: SparkSession, d: str) -> DataFrame:
-    return _raw(spark, d).withColumn("p", phones.normalized(F.col("raw"))).select("claim_id", "p.*")
+    return phones.normalized(_raw(spark, d), "raw").select("claim_id", "e164", "type", "area_code", "confidence", "error")
 
 
 @query(_RAW + _NATIONAL + "SELECT coalesce(error, 'accepted') AS outcome, count(*) AS n FROM e GROUP BY 1")
 def phone_rejections(spark: SparkSession, d: str) -> DataFrame:
-    return _raw(spark, d).groupBy(F.coalesce(phones.error(F.col("raw")), F.lit("accepted")).alias("outcome")).agg(F.count("*").alias("n"))
+    return phones.read(_raw(spark, d), "raw").groupBy(F.coalesce(phones.error(F.col("phone")), F.lit("accepted")).alias("outcome")).agg(F.count("*").alias("n"))
 
 
 @query(_RAW + _NATIONAL + "SELECT code AS area, num[length(code):-3] AS block, count(DISTINCT num) AS n_numbers FROM e WHERE error IS NULL AND code <> '0' AND code[1:2] <> '06' AND length(num[length(code):]) >= 4 GROUP BY 1, 2")
 def landline_blocks(spark: SparkSession, d: str) -> DataFrame:
     """Landlines by area code and subscriber range, all digits but the last two."""
-    found = _raw(spark, d).select(phones.normalized(F.col("raw"))["e164"].alias("e164")).where("e164 IS NOT NULL").withColumn("b", phones.landline_block(F.col("e164"))).where("b IS NOT NULL")
-    return found.groupBy("b.area", "b.block").agg(F.count_distinct("e164").alias("n_numbers"))
+    found = phones.normalized(_raw(spark, d), "raw").withColumn("b", phones.landline_block(F.col("e164")))
+    # rows without a block go after the count: before it the filter would be computed anew from the raw text
+    return found.groupBy("b.area", "b.block").agg(F.count_distinct(F.when(F.col("b").isNotNull(), F.col("e164"))).alias("n_numbers")).where("n_numbers > 0")
 
 
 @query(_RAW + _NATIONAL + "SELECT code AS area_code, count(*) AS n, count(*) FILTER (code NOT IN " + str(_AREAS) + ") AS n_unplaced FROM e WHERE error IS NULL AND kind = 'landline' GROUP BY 1")
 def landline_areas(spark: SparkSession, d: str) -> DataFrame:
-    p = phones.normalized(F.col("raw"))
-    found = _raw(spark, d).select(p["area_code"].alias("area_code"), p["type"].alias("type")).where("type = 'landline'")
-    return found.groupBy(F.coalesce("area_code", F.lit("0")).alias("area_code")).agg(F.count("*").alias("n"), F.count_if(F.coalesce(~F.col("area_code").isin(*_AREAS), F.lit(True))).alias("n_unplaced"))
+    found = phones.normalized(_raw(spark, d), "raw")
+    line = F.coalesce(F.col("type") == "landline", F.lit(False))
+    unplaced = F.coalesce(~F.col("area_code").isin(*_AREAS), F.lit(True))
+    return found.groupBy(F.coalesce("area_code", F.lit("0")).alias("area_code")).agg(F.count_if(line).alias("n"), F.count_if(line & unplaced).alias("n_unplaced")).where("n > 0")
