@@ -21,10 +21,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, normalized_space, shuffle_partitions
+from .common import free_names, materialize, normalized_space, shuffle_partitions
 
 #: Rows of a sender; bounds the memory of packing and of a bitmap.
 CHUNK = 32_768
@@ -169,14 +169,16 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs, all columns, without the rows that exact_dedup drops. Where rows repeat the kept doc_id and text, one of them stays."""
+    """docs, all columns, without the rows that exact_dedup drops. Where rows repeat the kept doc_id and text, the one whose columns hash lowest stays."""
     columns = docs.columns
+    kept_id, sha, own, at = free_names(columns, "kept_id", "sha", "own", "at")
     decided = materialize(exact_dedup(docs, id_col, text_col), "decided")
-    kept = decided.where("kept").select(F.col("doc_id").alias("__kept"), F.unhex("text_sha256").alias("__sha"))
-    own = docs.withColumn("__own", F.unhex(F.sha2(normalized_space(F.col(text_col)), 256)))
-    out = own.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("__kept")) & (F.col("__own") == F.col("__sha")), "left_semi")
+    kept = decided.where("kept").select(F.col("doc_id").alias(kept_id), F.unhex("text_sha256").alias(sha))
+    marked = docs.withColumn(own, F.unhex(F.sha2(normalized_space(F.col(text_col)), 256)))
+    out = marked.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col(kept_id)) & (F.col(own) == F.col(sha)), "left_semi")
     if not decided.where("NOT kept AND doc_id <=> keep_id").isEmpty():
-        out = out.dropDuplicates([id_col, "__own"])
+        first = F.row_number().over(Window.partitionBy(id_col, own).orderBy(F.xxhash64(*columns)))
+        out = out.withColumn(at, first).where(F.col(at) == 1)
     return out.select(*columns)
 
 

@@ -13,7 +13,8 @@ is needed, so the model is the same for every input.
 
 Text: character references decoded, white space within a block one space, blocks in page order joined by two
 line feeds. A null, empty or text-less page has the empty text. Rows that repeat are read each. Other columns
-are not looked at; an empty table gives no rows.
+are not looked at; an empty table gives no rows. Very long pages are read whole, in time linear in their length but for
+their depth. Of two choices with equal total the element is dropped.
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ NESTED, HEAD = frozenset(("object",)), frozenset("base basefont bgsound link met
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("thead", "tbody", "tr", "td", "th"), "body": ("head",)}
 P_ENDS = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split())
 SCOPES = frozenset("table ul ol dl body html article section div main td th".split())
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>""", re.S)
+_TAG = re.compile(r"""<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>""")
 _ATTR = re.compile(r"""\b(class|id|role|aria-label|itemprop)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _LABEL = re.compile(r'data-y="([01])"')
 _TOKENS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -78,6 +79,53 @@ def kinds_of(attributes: str) -> frozenset:
     return frozenset(found)
 
 
+class Scanner:
+    """Tags of a page in order. Comments and declarations are passed by; what has no end runs to the page's end or is text.
+
+    An end that isn't there is looked for once, so that a page of openings without ends takes linear time.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.last = page, page.rfind(">")
+        self.missing: set[str] = set()
+
+    def end(self, mark: str, at: int) -> int:
+        """The place behind the next mark, or -1."""
+        if mark in self.missing:
+            return -1
+        found = self.page.find(mark, at)
+        if found < 0:
+            self.missing.add(mark)
+            return -1
+        return found + len(mark)
+
+    def next(self, at: int) -> tuple[int, int, re.Match | None]:
+        """Where the next markup begins and ends, and its match if it is a tag; the page's end if there is none."""
+        page, n = self.page, len(self.page)
+        while True:
+            start = page.find("<", at)
+            if start < 0:
+                return n, n, None
+            follows = page[start + 1 : start + 2]
+            if follows in ("!", "?"):
+                if page.startswith("<!--", start):
+                    end = self.end("-->", start + 4)
+                    return start, n if end < 0 else end, None
+                end = self.end("]]>", start + 9) if page.startswith("<![CDATA[", start) else -1
+                end = end if end >= 0 else self.end(">", start)
+                if end >= 0:
+                    return start, end, None
+            elif start < self.last and (follows == "/" or follows.isalpha()) and (m := _TAG.match(page, start)):
+                return start, m.end(), m
+            at = start + 1
+
+    def close(self, name: str, at: int) -> int:
+        """The place behind the next end tag of a name, or the page's end."""
+        found = re.compile(rf"</{name}\b", re.I).search(self.page, at)
+        end = self.end(">", found.end()) if found else -1
+        return len(self.page) if end < 0 else end
+
+
 def closed_tags(page: str, name: str) -> set[int]:
     """Places of the start tags of a name that have an end tag of their own."""
     open_, found = [], set()
@@ -99,6 +147,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     links, at, n = 0, 0, len(page)  # within a link
     hidden: list[tuple[str, int, bool]] = []  # open skipped elements: name, elements open around it, whether it has an end tag
     closed: dict[str, set[int]] = {}
+    scanner = Scanner(page)
 
     def leave() -> None:
         """Skipped elements end with what is around them."""
@@ -118,23 +167,19 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             pending.clear()
 
     while at < n:
-        m = _TAG.search(page, at)
-        end = m.start() if m else n
-        if end > at and not hidden:
-            pending.append((html.unescape(page[at:end]), links > 0))
+        start, end, m = scanner.next(at)
+        if start > at and not hidden:
+            pending.append((html.unescape(page[at:start]), links > 0))
+        at = end
         if not m:
-            break
-        at = m.end()
-        name = m[2] or m[5]
-        if not name:
             continue
+        name = m[2] or m[5]
         name, closing, attributes = name.lower(), m[1] or m[4], m[3] if m[2] else m[6]
         if hidden and not closing and hidden[-1][0] == "head" and name not in HEAD:
             hidden.pop()
         if name in RAW and not closing:
             if not attributes.endswith("/"):
-                stop = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
-                at = stop.end() if stop else n
+                at = scanner.close(name, at)
             continue
         if name in SKIPPED:
             names = [x for x, _, _ in hidden]
@@ -145,7 +190,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             if not closing:
                 if name not in closed:
                     closed[name] = closed_tags(page, name)
-                hidden.append((name, len(stack), name == "head" or m.start() in closed[name]))
+                hidden.append((name, len(stack), name == "head" or start in closed[name]))
             continue
         if name == "body" or name == "html":
             hidden.clear()

@@ -14,25 +14,27 @@ repeat are judged each; an empty table gives no rows; columns but the text are n
 Learning: counts of n-grams in labelled texts, the ones whose ids hash lowest (of null ids, their texts), whole. Of all
 labelled rows at most about SAMPLE are taken, but of each language about EACH, or all if it has fewer, and one at
 least: every labelled language is learned, from at most about SAMPLE + EACH x languages texts. Rows of the same hash
-go together. Each language keeps its most frequent counts, an equal part of COUNTS.
+go together. A language's counts are one dense table of BUCKETS and scripts, whole at every size. Very long texts are read
+whole.
 """
 
 from __future__ import annotations
 
 import pickle
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import free_names
 
-#: Labelled texts that the model is fitted on, about, at most; those of each language, about, at least; and counts that it keeps, at most.
-SAMPLE, EACH, COUNTS = 6_000, 200, 1_000_000
+#: Labelled texts that the model is fitted on, about, at most; and those of each language, about, at least.
+SAMPLE, EACH = 6_000, 200
 BUCKETS = 1 << 18
 #: Log-likelihood that a switch of language costs; most that a word can speak for a language against another.
 SWITCH, CLIP = 14.0, 9.0
@@ -112,19 +114,21 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(np.where(at < BUCKETS, at, BUCKETS - 1 - at)), pa.array(own[at])], names=["lang", "bucket", "n"])
 
 
+def _dense(table: pa.Table) -> pa.Table:
+    """A language's counts, BUCKETS + 256 rows at most, as one array."""
+    own = np.zeros(BUCKETS + 256, np.int64)
+    at = table["bucket"].to_numpy()
+    own[np.where(at >= 0, at, BUCKETS - 1 - at)] = table["n"].to_numpy()
+    return pa.table({"lang": table["lang"][:1], "counts": pa.array([zlib.compress(own.tobytes(), 1)], pa.binary())})
+
+
 class Model:
-    """Log-likelihoods of buckets by language, from (lang, bucket, n) counts."""
-
-    def __init__(self, rows: list[tuple[str, int, int]]):
-        self.langs = sorted({r[0] for r in rows})
-        at = {lang: i for i, lang in enumerate(self.langs)}
-        k = len(self.langs)
-        counts, scripts = np.zeros((BUCKETS, k)), np.zeros((256, k))
-        for lang, bucket, c in rows:
-            if bucket >= 0:
-                counts[bucket, at[lang]] = c
-            else:
-                scripts[-1 - bucket, at[lang]] = c
+    """Log-likelihoods of buckets by language, from each language's counts: of BUCKETS, then of 256 scripts."""
+
+    def __init__(self, counted: dict[str, np.ndarray]):
+        self.langs = sorted(counted)
+        every = np.stack([counted[x] for x in self.langs], axis=1).astype(float) if counted else np.zeros((BUCKETS + 256, 0))
+        counts, scripts = every[:BUCKETS], every[BUCKETS:]
         used = max(1, int((counts.sum(axis=1) > 0).sum()))
         table = np.log((counts + 0.5) / (counts.sum(axis=0) + 0.5 * used))
         table[counts.sum(axis=1) == 0] = 0.0
@@ -210,28 +214,27 @@ def label(model: Model, text: str | None) -> tuple[str, float, list[tuple[str, i
 
 
 def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
-    """Fits a model on labelled rows, a sample of about `sample` texts, and EACH of each language. The driver gets one row for each language and the buckets' counts, COUNTS at most."""
+    """Fits a model on labelled rows, a sample of about `sample` texts, and EACH of each language. The driver gets one row for each language, with its dense counts, BUCKETS longs at most."""
     key = F.col(id_col).cast("string")
     draw = F.xxhash64(F.lit(7), key, F.when(key.isNull(), F.col(text_col))).bitwiseAND(0xFFFFFF)
     known = labelled.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), draw.alias("draw"))
     sizes = known.groupBy("lang").agg(F.count("*").alias("n"), F.min("draw").alias("first")).collect()
     if not sizes:
-        return Model([])
+        return Model({})
     rate = sample / sum(r["n"] for r in sizes)
     below = [(r["lang"], max(r["first"] + 1, int((1 << 24) * min(1.0, max(rate, EACH / r["n"]))))) for r in sizes]
     below = labelled.sparkSession.createDataFrame(below, "lang string, below long")
     part = known.join(F.broadcast(below), "lang").where("draw < below").select("lang", "text")
     counts = part.mapInArrow(_count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("bucket") >= 0, F.desc("n"), "bucket"))
-    rows = materialize(counts, "grams").withColumn("place", place).where(F.col("place") <= max(1, COUNTS // len(sizes))).collect()
-    return Model([(r["lang"], r["bucket"], r["n"]) for r in rows])
+    rows = counts.groupBy("lang").applyInArrow(_dense, "lang string, counts binary").collect()
+    return Model({r["lang"]: np.frombuffer(zlib.decompress(r["counts"]), np.int64) for r in rows})
 
 
 _MODELS: dict[str, Model] = {}
 
 
-def _judged(docs: DataFrame, model: Model, text_col: str) -> DataFrame:
-    """docs with a struct __found (lang_pred, score, fitting, spans); nothing is shuffled."""
+def _judged(docs: DataFrame, model: Model, text_col: str) -> tuple[DataFrame, str]:
+    """docs with a struct of its own name (lang_pred, score, fitting, spans), and the name; nothing is shuffled."""
     raw = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
     key = uuid.uuid4().hex
 
@@ -245,13 +248,14 @@ def _judged(docs: DataFrame, model: Model, text_col: str) -> DataFrame:
             out.append((lang, score, fitting, [{"lang": a, "letters": b} for a, b in spans]))
         return pd.DataFrame(out, columns=["lang_pred", "score", "fitting", "spans"])
 
-    return docs.withColumn("__found", run(F.col(text_col)))
+    (name,) = free_names(docs.columns, "found")
+    return docs.withColumn(name, run(F.col(text_col))), name
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """docs with lang_pred, score and spans (array of lang, letters) added; nothing is shuffled. Other columns of these names are replaced."""
-    found = _judged(docs, model, text_col)
-    return found.withColumns({c: F.col(f"__found.{c}") for c in ("lang_pred", "score", "spans")}).drop("__found")
+    found, name = _judged(docs, model, text_col)
+    return found.withColumns({c: F.col(f"{name}.{c}") for c in ("lang_pred", "score", "spans")}).drop(name)
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -266,5 +270,5 @@ def predict(docs: DataFrame) -> DataFrame:
 
 def identified_documents(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """docs, all columns, without texts that are `und` or have less than `least` of their letters in words that a learned script fits. Texts in several languages stay."""
-    found = _judged(docs, learn(docs.where(~held_out())), "text")
-    return found.where((F.col("__found.lang_pred") != "und") & (F.col("__found.fitting") >= least)).select(*docs.columns)
+    found, name = _judged(docs, learn(docs.where(~held_out())), "text")
+    return found.where((F.col(f"{name}.lang_pred") != "und") & (F.col(f"{name}.fitting") >= least)).select(*docs.columns)

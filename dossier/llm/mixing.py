@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize, ordinal
+from .common import WORD, free_names, materialize, ordinal
 
 WEIGHTS = (1, 2, 3)
 MOST = 3
@@ -134,7 +134,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """docs, all columns, each row as often as the mix takes it. Of rows that repeat an id all take as much as the first."""
-    columns = docs.columns
-    times = mix(docs, id_col, text_col, source_col).where("times > 0").groupBy(F.col("doc_id").alias("__id")).agg(F.max("times").alias("__times"))
-    joined = docs.join(times, F.col(id_col).eqNullSafe(F.col("__id")))
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), "__times"))).select(*columns)
+    of, times, copy = free_names(docs.columns, "of", "times", "copy")
+    wanted = mix(docs, id_col, text_col, source_col).where("times > 0").groupBy(F.col("doc_id").alias(of)).agg(F.max("times").alias(times))
+    joined = docs.join(wanted, F.col(id_col).eqNullSafe(F.col(of)))
+    return joined.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), times))).select(*docs.columns)

@@ -54,3 +54,53 @@ def test_odd_rows(docs, rows, none):
     assert f.duplicates(docs).count() == len(rows)
     assert f.without_duplicates(docs).columns == docs.columns
     assert f.duplicates(none).count() == 0
+
+
+def _pairs(rng, n, length):
+    """Lines and copies of them with a few code points changed at the end, whose similarity is near the threshold and above."""
+    out = []
+    for _ in range(n):
+        line = "".join(rng.choice("abcdefghijklmnop ") for _ in range(length)).strip() or "x"
+        cut = rng.randint(1, max(1, length // 12))
+        out.append((line, line[:-cut] + "".join(rng.choice("qrstuvwz") for _ in range(rng.randint(0, cut)))))
+    return out
+
+
+def test_recall_at_every_length():
+    """Of linking pairs, the share with a common band: lengths around what once had two kinds of signatures are no exception."""
+    import numpy as np
+
+    rng = random.Random(12)
+    for length in (40, 100, 130, 134, 136, 140, 300, 1200):
+        hit = linked = 0
+        for a, b in _pairs(rng, 150, length):
+            sets = f.line_sets([a, b])
+            if not f.reach_similarity(*sets, f.NUM, f.DEN):
+                continue
+            linked += 1
+            values = f.signatures(*f.shingles([a, b])).reshape(2, f.BANDS, f.ROWS)
+            hit += bool(np.any(np.all(values[0] == values[1], axis=1)))
+        assert linked > 50 and hit >= 0.99 * linked, (length, hit, linked)
+
+
+def test_groups_longer_than_their_pairs(spark, monkeypatch):
+    from dossier.llm import ngram_join
+
+    rng = random.Random(5)
+    rows = []
+    for g in range(3):
+        base = "".join(rng.choice("abcdefghijklmnop") for _ in range(160))
+        for i in range(40):
+            line = list(base)
+            for _ in range(rng.randint(0, 2)):
+                line[rng.randrange(len(line))] = rng.choice("qrstuvwz")
+            rows.append((100 * g + i, "".join(line)))
+    monkeypatch.setattr(ngram_join, "LONG", 3)
+    out = f.duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {r["doc_id"]: r["removed"] for r in out} == dict(zip([r[0] for r in rows], brute(rows), strict=True))
+
+
+def test_rows_of_one_id_keep_their_own_lines(spark):
+    rows = [(1, "a line that two documents have in common\nmy own important first line", "x"), (1, "my own important first line, of another text", "y"), (0, "a line that two documents have in common", "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, gone string")
+    assert {(r["text"], r["gone"]) for r in f.without_duplicates(docs).collect()} == {("my own important first line", "x"), (rows[1][1], "y"), (rows[2][1], "z")}

@@ -39,13 +39,23 @@ def test_no_labels(spark, none):
     assert langid.predict(none).collect() == []
 
 
-def test_first_counts_of_each_language_are_kept(spark, monkeypatch):
-    monkeypatch.setattr(langid, "COUNTS", 60)
+def test_all_counts_of_each_language_are_kept(spark):
     rows = [(i, " ".join(f"{a}{b}" for a in "abcdefgh" for b in "ijklmn"), "en") for i in range(50)] + [(99, "был", "ru")]
     model = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     assert langid.label(model, "был")[0] == "ru"
-    words = langid.Words("был")
-    assert (model.table[words.two][:, 1] > model.table[words.two][:, 0]).any()
+    for text, at in (("был", 1), ("ai", 0)):
+        words = langid.Words(text)
+        assert (model.table[words.two][:, at] > model.table[words.two][:, 1 - at]).any()
+
+
+def test_held_out_accuracy(spark):
+    import pyarrow.parquet as pq
+
+    table = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["doc_id", "text", "lang"])
+    langs = dict(zip(table["doc_id"].to_pylist(), table["lang"].to_pylist(), strict=True))
+    found = langid.predict(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()
+    judged = [r["lang_pred"] == langs[r["doc_id"]] for r in found if r["held_out"] and langs[r["doc_id"]]]
+    assert len(found) == len(langs) and len(judged) > 100 and sum(judged) >= 0.97 * len(judged)
 
 
 def test_mixed_documents_stay(spark):

@@ -48,3 +48,41 @@ def test_one_short_text_with_longer_ones(spark):
 
 def test_empty_table(spark, none):
     assert ngram_join.joined(none).collect() == []
+
+
+def _near_copies():
+    """Groups of near copies with more members than a list may pair, with links that chain, and texts beside them."""
+    import random
+
+    rng = random.Random(31)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(4))
+    rows = []
+    for g in range(3):
+        base = [word() for _ in range(90)]
+        for i in range(45):
+            text = list(base)
+            for _ in range(rng.randint(0, 5)):
+                text[rng.randrange(len(text))] = word()
+            rows.append((1000 * g + i, " ".join(text[: len(text) - rng.randint(0, 6)])))
+        chain = [word() for _ in range(120)]
+        rows += [(1000 * g + 500 + i, " ".join(chain[4 * i : 4 * i + 80])) for i in range(10)]
+    return rows
+
+
+def test_lists_longer_than_their_pairs(spark, monkeypatch):
+    rows = _near_copies()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for long in (2, 32):
+        monkeypatch.setattr(ngram_join, "LONG", long)
+        for width, num, den in ((4, 85, 100), (5, 80, 100)):
+            found = {tuple(r) for r in ngram_join.joined(docs, width=width, num=num, den=den).collect()}
+            assert found == _brute(rows, width, num, den)
+
+
+def test_one_of_each(spark, docs, rows):
+    table = docs.withColumnsRenamed({"key": "gone_id", "n": "Stays"})
+    kept = ngram_join.one_of_each(table, width=4, num=85)
+    assert kept.columns == table.columns
+    first = {c for _, n, c in _brute(rows, 4, 85, 100) if n}
+    stay = {i for i, n, c in _brute(rows, 4, 85, 100) if not n or c == i}
+    assert {r["doc_id"] for r in kept.collect()} - {None} == stay and first <= stay
