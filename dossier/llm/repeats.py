@@ -13,7 +13,8 @@ place. The window starts that share an anchor span a piece, about 270 bytes.
    pass from the least suffix along these pointers emits the order within each group. Nothing is renamed
    and there is no recursion.
 3. Neighbours that share 24 blocks share 192 bytes of a window; the 8 bytes around these, compared as they
-   are, decide. So every window is judged on its bytes.
+   are, decide. So the windows of open pieces are judged on their bytes; that two pieces are the same is known by
+   their anchor and a 64-bit hash of their bytes.
 
 Anchors with more than SPLIT different pieces are split by where a window lies about the anchor and by the
 bytes that all windows there share, which equal windows have in common.
@@ -239,19 +240,22 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _occurrences(bits):
+    schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("k", pa.int32()), ("piece", pa.int64()), ("anchor", pa.int64()), ("place", pa.int32()), ("first", pa.int32()), ("last", pa.int32())])
+
     def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(doc_id, row, k, piece) for pieces that pass the filter."""
+        """(doc_id, row, k, piece, anchor, place, first, last) for pieces that pass the filter: place of the anchor, first and last window start."""
         for batch in batches:
-            rows, ks, pieces = [], [], []
-            for row, raw, _, firsts, lasts, _ in _read(batch):
+            rows, found = [], []
+            for row, raw, places, firsts, lasts, hashes in _read(batch):
                 prints = piece_hashes(raw, firsts, lasts)
                 at = np.flatnonzero(passes(bits.value, prints))
-                rows.append(np.full(len(at), row))
-                ks.append(at)
-                pieces.append(prints[at])
+                if len(at):
+                    rows.append(np.full(len(at), row))
+                    found.append((at, prints[at].view(np.int64), hashes[at].view(np.int64), places[at], firsts[at], lasts[at]))
             if rows:
                 take = pa.array(np.concatenate(rows))
-                yield pa.RecordBatch.from_arrays([batch["doc_id"].take(take), batch["row"].take(take), pa.array(np.concatenate(ks), pa.int32()), pa.array(np.concatenate(pieces).view(np.int64))], names=["doc_id", "row", "k", "piece"])
+                columns = [pa.array(np.concatenate(c), f.type) for c, f in zip(zip(*found, strict=True), list(schema)[2:], strict=True)]
+                yield pa.RecordBatch.from_arrays([batch["doc_id"].take(take), batch["row"].take(take), *columns], schema=schema)
 
     return occurrences
 
@@ -262,14 +266,13 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows: list[tuple] = []
         flags = batch["flags"].to_pylist()
-        for row, raw, places, firsts, lasts, hashes in _read(batch):
+        for row, text in enumerate(batch["text"].to_pylist()):
+            raw = text.encode()
             for f in flags[row]:
                 if not f["needed"]:
                     continue
-                k = f["k"]
-                a, first, last = int(places[k]), int(firsts[k]), int(lasts[k])
+                k, a, first, last, key = f["k"], f["place"], f["first"], f["last"], f["anchor"]
                 who = (batch["doc_id"][row].as_py(), batch["row"][row].as_py(), k) if f["open"] else (None, None, None)
-                key = int(hashes[k : k + 1].view(np.int64)[0])
                 if not f["split"]:
                     part = raw[first : last + LENGTH]
                     rows.append((key, f["piece"], f["open"], *who, part, a - first, 0, last - first, 0))
@@ -323,12 +326,14 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags = batch["flags"].to_pylist()
         marks = batch["marks"].to_pylist() if "marks" in batch.schema.names else [None] * batch.num_rows
         out = []
-        for row, raw, _, firsts, lasts, _ in _read(batch):
+        for row, text in enumerate(batch["text"].to_pylist()):
+            raw = text.encode()
             edge = np.zeros(len(raw) + 1, np.int32)
             for f in flags[row]:
                 if not f["open"]:
-                    edge[firsts[f["k"]]] += 1
-                    edge[lasts[f["k"]] + LENGTH] -= 1
+                    edge[f["first"]] += 1
+                    edge[f["last"] + LENGTH] -= 1
+            firsts = {f["k"]: f["first"] for f in flags[row]} if marks[row] else {}
             for m in marks[row] or []:
                 at = firsts[m["k"]] + m["shift"] + np.flatnonzero(np.frombuffer(m["marks"], np.uint8))
                 edge[at] += 1
@@ -341,6 +346,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch["doc_id"], *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
+_FLAGS = ("piece", "anchor", "place", "first", "last", "open", "needed", "split")
 CUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -354,13 +360,13 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     counted = slim.select("text").mapInArrow(_counted, "anchor long, piece long, n long").repartition(n, "anchor")
     pieces = counted.groupBy("anchor", "piece").agg(F.sum("n").alias("c"))
     by_anchor = counted.groupBy("anchor").agg(F.sum("n").alias("total"), F.count_distinct("piece").alias("m")).where("total > 1")
-    status = pieces.join(by_anchor, "anchor").select("piece", (F.col("c") == 1).alias("open"), F.when(F.col("m") > 1, True).otherwise(False).alias("needed"), (F.col("m") > SPLIT).alias("split"))
+    status = pieces.join(by_anchor, "anchor").select("anchor", "piece", (F.col("c") == 1).alias("open"), F.when(F.col("m") > 1, True).otherwise(False).alias("needed"), (F.col("m") > SPLIT).alias("split"))
     status = materialize(status, "status")
 
     bits = hash_filter(status, "piece")
-    found = slim.mapInArrow(_occurrences(spark.sparkContext.broadcast(bits)), "doc_id long, row long, k int, piece long").join(status, "piece")
-    flags = found.groupBy("doc_id", "row", "k").agg(F.first(F.struct("piece", "open", "needed", "split")).alias("f"))
-    flags = flags.groupBy("doc_id", "row").agg(F.collect_list(F.struct("k", "f.piece", "f.open", "f.needed", "f.split")).alias("flags"))
+    found = slim.mapInArrow(_occurrences(spark.sparkContext.broadcast(bits)), "doc_id long, row long, k int, piece long, anchor long, place int, first int, last int").join(status, ["anchor", "piece"])
+    flags = found.groupBy("doc_id", "row", "k").agg(F.first(F.struct(*_FLAGS)).alias("f"))
+    flags = flags.groupBy("doc_id", "row").agg(F.collect_list(F.struct("k", *[f"f.{c}" for c in _FLAGS])).alias("flags"))
     flags = materialize(flags.withColumn("some_open", F.exists("flags", lambda f: f["open"])), "flags")
 
     same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["row"] == b["row"])
