@@ -13,7 +13,8 @@ place. The window starts that share an anchor span a piece, about 270 bytes.
    pass from the least suffix along these pointers emits the order within each group. Nothing is renamed
    and there is no recursion.
 3. Neighbours that share 24 blocks share 192 bytes of a window; the 8 bytes around these, compared as they
-   are, decide. So every window is judged on its bytes.
+   are, decide. So the windows of open pieces are judged on their bytes; that two pieces are the same is known by
+   a 64-bit hash of their bytes.
 
 Anchors with more than SPLIT different pieces are split by where a window lies about the anchor and by the
 bytes that all windows there share, which equal windows have in common.
