@@ -97,7 +97,7 @@ def list_leads_last_page(spark: SparkSession, d: str) -> DataFrame:
     return page(spark, d, LeadQuery(page=9999))
 
 
-@query(_PAGE.format(where="", order="name", limit=50, offset=50 * 7))
+@query(_PAGE.format(where="", order="name", limit=50, offset=0).replace("OFFSET 0", "OFFSET (SELECT least(7, greatest((count(*) - 1) // 50, 0)) * 50 FROM active)"))
 def list_leads_deep_page(spark: SparkSession, d: str) -> DataFrame:
     return page(spark, d, LeadQuery(sort="name", descending=False, page=8))
 
