@@ -258,8 +258,12 @@ class Bpe:
                 ids.append(str(self.special[segment]))
                 decoded.append(segment)
             else:
-                split = self.split
-                found = [memo[word] for piece in self.pieces(segment) for word in split(piece)]
+                found, known, split = [], memo.get, self.split
+                for piece in self.pieces(segment):
+                    if (hit := known(piece)) is not None:  # a word by itself
+                        found.append(hit)
+                    else:
+                        found += [memo[word] for word in split(piece)]
                 ids += [x for x, _ in found]
                 decoded += [x for _, x in found]
         return " ".join(ids), " ".join(decoded)
