@@ -21,10 +21,12 @@ are not looked at.
 from __future__ import annotations
 
 import codecs
+import gc
 import hashlib
 import json
 import unicodedata
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import pyarrow as pa
 import regex
@@ -151,6 +153,10 @@ class Bpe:
 
     def transduce(self, pieces: Iterable[str]) -> Iterator[str]:
         """Tokens of one word that comes in pieces, in the byte alphabet, each as soon as it is stable."""
+        return chain.from_iterable(self.runs(pieces))
+
+    def runs(self, pieces: Iterable[str]) -> Iterator[list[str]]:
+        """Those tokens, the ones that become stable together as one list."""
         inner, stay, ends, known = self.inner, self.stay, self.inner_ends, self.pairs
         # of the part that is open: its symbols, and for each prefix its last token and where that begins; base is the last token that has left
         held, last, back, base = "", [""], [0], ""
@@ -174,7 +180,7 @@ class Bpe:
                 if i >= look:
                     cut, tokens = self._stable(last, back, i)
                     if cut:
-                        yield from tokens
+                        yield tokens
                         base, held, last, back, i = last[cut], held[cut:], ["", *last[cut + 1 :]], [0, *(max(0, b - cut) for b in back[cut + 1 :])], i - cut
                     assert i <= self.lookahead
                     look = i + STEP
@@ -191,7 +197,8 @@ class Bpe:
         while start:
             out.append(last[start])
             start = back[start]
-        yield from reversed(out)
+        out.reverse()
+        yield out
 
     def _stable(self, last: list[str], back: list[int], i: int) -> tuple[int, list[str]]:
         """The prefix on which the encodings of all open prefixes agree, and its tokens."""
@@ -221,8 +228,7 @@ class Bpe:
 
     def encode_piece(self, piece: str) -> list[int]:
         """Ids of normalised text without white space."""
-        vocab = self.vocab
-        return [vocab[t] for w in self.split(piece) for t in self.tokens(w)]
+        return [self.vocab[t] for w in self.split(piece) for t in self.tokens(w)]
 
     def segments(self, text: str) -> Iterator[tuple[str, bool]]:
         """Text between special tokens, and these."""
@@ -349,7 +355,11 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                done = [bpe.encoded(t or "") for t in part["text"].to_pylist()]
+                gc.disable()  # encoding makes no cycles, and the memo's entries are many to walk through
+                try:
+                    done = [bpe.encoded(t or "") for t in part["text"].to_pylist()]
+                finally:
+                    gc.enable()
                 ids = [x[0] for x in done]
                 counts = [x.count(" ") + 1 if x else 0 for x in ids]
                 yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array([x[1] for x in done], pa.string())], names=["doc_id", "n_tokens", "ids", "decoded"])
