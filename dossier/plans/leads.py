@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import re
+from dataclasses import dataclass, replace
+from urllib.parse import parse_qs, urlencode
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +32,32 @@ class LeadQuery:
     page_size: int = 50
 
 
+#: Parameters of a list's link and the fields of LeadQuery that they set.
+_PARAMETERS = {"q": "text", "opstina": "municipality_id", "type": "classifications", "minScore": "min_score", "phone": "has_phone", "izvor": "source_id", "sort": "sort", "dir": "descending", "page": "page", "perPage": "page_size"}
+
+
+def parse(link: str, labels: tuple[str, ...] = ()) -> LeadQuery:
+    """The query of a link's parameters. Values that the list doesn't know, and numbers that aren't any, leave the default; labels, if given, are those it knows."""
+    given = parse_qs(link.partition("?")[2] if "?" in link else link)
+    one = lambda name: given.get(name, [""])[0].strip()
+    number = lambda name: int(one(name)) if re.fullmatch(r"-?[0-9]+", one(name)) else None
+    kinds = tuple(dict.fromkeys(x.strip() for value in given.get("type", []) for x in value.split(",") if x.strip() and (not labels or x.strip() in labels)))
+    found = {
+        "text": one("q"), "municipality_id": number("opstina"), "classifications": kinds, "min_score": number("minScore"), "has_phone": {"yes": True, "no": False}.get(one("phone")), "source_id": one("izvor") or None,
+        "sort": one("sort") if one("sort") in SORT_KEYS else None, "descending": {"asc": False, "desc": True}.get(one("dir")), "page": number("page"), "page_size": number("perPage"),
+    }
+    return LeadQuery(**{k: v for k, v in found.items() if v is not None})
+
+
+def link(q: LeadQuery, **changes: object) -> str:
+    """The parameters that `parse` reads back as q with changes, those of the default left out; a change goes back to the first page."""
+    q = replace(q, **{"page": 1, **changes}) if changes else q
+    write = {True: "yes", False: "no"}
+    shown = {name: getattr(q, field) for name, field in _PARAMETERS.items() if getattr(q, field) != getattr(LeadQuery(), field)}
+    text = {k: ",".join(v) if k == "type" else ("desc" if v else "asc") if k == "dir" else write[v] if k == "phone" else str(v) for k, v in shown.items()}
+    return f"?{urlencode(text)}" if text else ""
+
+
 def matching(spark: SparkSession, d: str, q: LeadQuery) -> DataFrame:
     found = sources.active(sources.leads(spark, d))
     if q.classifications:
