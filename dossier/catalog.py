@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from dossier import plans
-from dossier.plans import claims, extraction, grading, leads, listing, matching, naming, phone_numbers, reports, resolution, upkeep, yields  # noqa: F401  each registers its queries
+from dossier.plans import claims, extraction, grading, intake, leads, listing, matching, naming, phone_numbers, reports, resolution, upkeep, yields  # noqa: F401  each registers its queries
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
