@@ -89,9 +89,9 @@ def page(spark: SparkSession, d: str, q: LeadQuery) -> DataFrame:
     found = matching(spark, d, q).select("id", "name", "municipality_id", "classification", "score")
     at = max(1, q.page) - 1
     rows = found.orderBy(key, "id").offset(at * size).limit(size).collect()
-    if not rows and at:
-        at = max(0, -(-found.count() // size) - 1)
-        rows = found.orderBy(key, "id").offset(at * size).limit(size).collect()
+    if not rows and at and (total := found.count()):
+        back = F.asc(q.sort) if q.descending else F.desc(q.sort)
+        rows = found.orderBy(back, F.desc("id")).limit((total - 1) % size + 1).collect()  # the last page, from the end
     rows = spark.createDataFrame(rows, found.schema).coalesce(1)
     seen = sources.phones(spark, d).withColumnRenamed("lead_id", "id").join(F.broadcast(rows.select("id")), "id", "left_semi")
     per = seen.groupBy("id").agg(F.count_distinct("source_id").alias("n_sources"), F.count_distinct(F.when(F.col("valid"), F.col("e164"))).alias("n_phones"))
@@ -121,8 +121,8 @@ def list_leads_count(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_PAGE.format(where="", order="score DESC", limit=50, offset=0).replace("OFFSET 0", "OFFSET (SELECT greatest((count(*) - 1) // 50, 0) * 50 FROM active)"))
 def list_leads_last_page(spark: SparkSession, d: str) -> DataFrame:
-    """A page far beyond the last one is the last one."""
-    return page(spark, d, LeadQuery(page=9999))
+    """A page beyond the last one, whatever its number, is the last one."""
+    return page(spark, d, LeadQuery(page=page_count(spark, d, LeadQuery()).first()["pages"] + 1))
 
 
 @query(_PAGE.format(where="", order="name", limit=50, offset=0).replace("OFFSET 0", "OFFSET (SELECT least(7, greatest((count(*) - 1) // 50, 0)) * 50 FROM active)"))
