@@ -33,6 +33,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import let_go, letting_go
+
 #: Words that a worker's memo takes before the ones of before go; pairs of tokens, and states, that it knows.
 MEMO, PAIRS, STATES = 120_000, 200_000, 50_000
 #: Symbols between two looks for stable tokens; first symbols whose state is kept.
@@ -351,6 +353,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         raw = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()  # what earlier stages have left
         bpe = load(raw.value)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
@@ -365,7 +368,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                 yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array([x[1] for x in done], pa.string())], names=["doc_id", "n_tokens", "ids", "decoded"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids string, decoded string")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(letting_go(run), f"doc_id {kind}, n_tokens long, ids string, decoded string")
 
 
 def digest(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

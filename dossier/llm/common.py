@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import ctypes
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.tables import materialize, release
 
-__all__ = ["SPACE", "WORD", "free_names", "hash_filter", "materialize", "normalized_space", "ordinal", "passes", "release", "shuffle_partitions", "small_batches"]
+__all__ = ["SPACE", "WORD", "free_names", "hash_filter", "let_go", "letting_go", "materialize", "normalized_space", "ordinal", "passes", "release", "shuffle_partitions", "small_batches"]
 
 #: The white space that the operators' contracts mean, as a regular expression class.
 SPACE = r"[\x20\x09-\x0D]"
@@ -27,6 +29,23 @@ def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
     spark.conf.set(key, str(min(rows, int(spark.conf.get(key)) or rows)))
 
 
+def let_go() -> None:
+    """Gives the memory that Arrow and Python's C library hold unused back to the system: workers live on between tasks and stages."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def letting_go(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run for mapInArrow, which lets go of memory when a task's batches are done."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        let_go()
+
+    return whole
+
+
 def free_names(columns: Iterable[str], *names: str) -> list[str]:
     """The names, each with underscores before it until no column is called so, upper and lower case being the same."""
     taken = {c.lower() for c in columns}

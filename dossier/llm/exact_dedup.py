@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import free_names, materialize, normalized_space, shuffle_partitions
+from .common import free_names, letting_go, materialize, normalized_space, shuffle_partitions
 
 #: Rows of a sender; bounds the memory of packing and of a bitmap.
 CHUNK = 32_768
@@ -139,14 +139,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     spark = docs.sparkSession
     norm = normalized_space(F.col(text_col))
     prints = docs.select(F.col(id_col).cast("long").alias("id"), norm.alias("norm")).select("id", F.xxhash64("norm").alias("fp"), F.unhex(F.sha2("norm", 256)).alias("sha"))
-    packed = materialize(prints.mapInArrow(_pack, "sender long, ids array<long>, fps array<long>, shas array<binary>"), "packed")
+    packed = materialize(prints.mapInArrow(letting_go(_pack), "sender long, ids array<long>, fps array<long>, shas array<binary>"), "packed")
 
     rows = packed.agg(F.sum(F.size("fps"))).first()[0] or 0
     owners = max(1, min(shuffle_partitions(spark), math.ceil(rows / 64)), math.ceil(rows / OWNED))
-    messages = packed.select("sender", "fps").mapInArrow(_send(owners), "owner int, sender long, n int, k int, blob binary")
+    messages = packed.select("sender", "fps").mapInArrow(letting_go(_send(owners)), "owner int, sender long, n int, k int, blob binary")
     replies = messages.groupBy("owner").applyInArrow(_mark, "sender long, owner int, n int, bits binary")
     replies = replies.groupBy("sender").agg(F.collect_list(F.struct("owner", "n", "bits")).alias("replies"))
-    marked = materialize(packed.join(replies, "sender").mapInArrow(_unpack, "id long, fp long, sha binary, row long, suspect boolean"), "marked")
+    marked = materialize(packed.join(replies, "sender").mapInArrow(letting_go(_unpack), "id long, fp long, sha binary, row long, suspect boolean"), "marked")
 
     suspects = marked.where("suspect")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, release, shuffle_partitions
+from .common import letting_go, materialize, release, shuffle_partitions
 
 #: Rows of a sender, and hashes that an owner looks at together, on average at most.
 CHUNK, OWNED = 1 << 17, 1 << 22
@@ -137,13 +137,13 @@ def sharing_rows(source: DataFrame, rows: Callable[[Iterator[pa.RecordBatch]], I
 
     A node has one n, and one pos with a key.
     """
-    packed = materialize(source.mapInArrow(_pack(rows), "sender long, size long, key binary, who binary, sure binary, pos binary, node binary, n binary"), "packed")
+    packed = materialize(source.mapInArrow(letting_go(_pack(rows)), "sender long, size long, key binary, who binary, sure binary, pos binary, node binary, n binary"), "packed")
     total = packed.agg(F.sum("size")).first()[0] or 0
     owners = max(1, min(shuffle_partitions(source.sparkSession), math.ceil(total / 1024)), math.ceil(total / OWNED))
-    messages = packed.select("sender", "key", "sure", "who", "node").mapInArrow(_send(owners), "owner long, sender long, sent binary, nodes binary")
+    messages = packed.select("sender", "key", "sure", "who", "node").mapInArrow(letting_go(_send(owners)), "owner long, sender long, sent binary, nodes binary")
     replies = messages.groupBy("owner").applyInArrow(_mark, "sender long, owner long, n_sent int, bits binary")
     replies = materialize(replies.groupBy("sender").agg(F.collect_list(F.struct("owner", "n_sent", "bits")).alias("replies")), "replies")
-    rows = packed.drop("size").join(replies.hint("broadcast" if total <= REPLIES else "merge"), "sender").mapInArrow(_let_go, ROWS)
+    rows = packed.drop("size").join(replies.hint("broadcast" if total <= REPLIES else "merge"), "sender").mapInArrow(letting_go(_let_go), ROWS)
     out = materialize(rows.groupBy("key", "sure", "node").agg(F.min("n").alias("n"), F.min("pos").alias("pos")), "entries")
     release(packed, replies)
     return out

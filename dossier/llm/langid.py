@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_names
+from .common import free_names, let_go, letting_go
 
 #: Labelled texts that the model is fitted on, about, at most; and those of each language, about, at least.
 SAMPLE, EACH = 6_000, 200
@@ -225,7 +225,7 @@ def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     below = [(r["lang"], max(r["first"] + 1, int((1 << 24) * min(1.0, max(rate, EACH / r["n"]))))) for r in sizes]
     below = labelled.sparkSession.createDataFrame(below, "lang string, below long")
     part = known.join(F.broadcast(below), "lang").where("draw < below").select("lang", "text")
-    counts = part.mapInArrow(_count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    counts = part.mapInArrow(letting_go(_count), "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     rows = counts.groupBy("lang").applyInArrow(_dense, "lang string, counts binary").collect()
     return Model({r["lang"]: np.frombuffer(zlib.decompress(r["counts"]), np.int64) for r in rows})
 
@@ -241,11 +241,13 @@ def _judged(docs: DataFrame, model: Model, text_col: str) -> tuple[DataFrame, st
     @F.pandas_udf("lang_pred string, score double, fitting double, spans array<struct<lang:string,letters:long>>")
     def run(texts: pd.Series) -> pd.DataFrame:
         if (own := _MODELS.get(key)) is None:
+            _MODELS.clear()  # a worker outlives the queries that it has worked for
             own = _MODELS[key] = pickle.loads(raw.value)
         out = []
         for text in texts:
             lang, score, fitting, spans = judge(own, text)
             out.append((lang, score, fitting, [{"lang": a, "letters": b} for a, b in spans]))
+        let_go()
         return pd.DataFrame(out, columns=["lang_pred", "score", "fitting", "spans"])
 
     (name,) = free_names(docs.columns, "found")

@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import components
-from .common import free_names, materialize, release
+from .common import free_names, letting_go, materialize, release
 from .exchange import sharing_rows
 
 #: Rows of an inverted list that cost as much as one row of a subset; sketch counters (16 bit each) in SEGMENTS parts; rows of a list whose pairs are all looked at; pivots of a longer one.
@@ -408,16 +408,16 @@ def links(docs: DataFrame, nodes: DataFrame, sketch: bytes, width: int, num: int
 
     def fetch(wanted: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
         needed = materialize(wanted.join(nodes.where("rep IS NOT NULL"), "node").select(F.col("rep").alias("id"), F.col("node").alias("wanted")), "needed")
-        texts = docs.join(bounded(needed), "id").select("text", "wanted").mapInArrow(_named(width), "node long, members string")
+        texts = docs.join(bounded(needed), "id").select("text", "wanted").mapInArrow(letting_go(_named(width)), "node long, members string")
         return texts.groupBy("node").agg(F.first("members").alias("members")), [needed]
 
-    return linked_nodes(listed, fetch, lambda pairs: pairs.mapInArrow(_linking(width, num, den), "a long, b long"), num, den)
+    return linked_nodes(listed, fetch, lambda pairs: pairs.mapInArrow(letting_go(_linking(width, num, den)), "a long, b long"), num, den)
 
 
 def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, num: int = 85, den: int = 100) -> DataFrame:
     """One row for each row of docs: doc_id, n_shingles, component_id. Similarity num / den, sets of `width`-word shingles."""
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    both = materialize(slim.mapInArrow(_heads(width), "id long, n long, node long, segment int, part long, counts binary"), "heads")
+    both = materialize(slim.mapInArrow(letting_go(_heads(width)), "id long, n long, node long, segment int, part long, counts binary"), "heads")
     sketch = summed(both.where("counts IS NOT NULL").select("segment", "part", "counts"))
     heads = materialize(both.where("n IS NOT NULL").select("id", "n", "node"), "heads")
     release(both)
