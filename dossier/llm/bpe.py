@@ -7,8 +7,8 @@ leaves, once the encodings of all prefixes still open agree on it. `lookahead` b
 lie behind: no more merges than the list has can run over a boundary, each no longer than the longest
 token. That bounds the memory whatever a word's length; in practice tokens leave after a few symbols.
 
-Every word goes through the transducer; a worker keeps what it gave for recent words, and where it stood after common
-beginnings of words.
+Every word goes through the transducer; a worker keeps the ids that it gave for recent words, and where it stood after
+common beginnings of words.
 
 Decoding is a state machine as well: ids go in one by one, text comes out as soon as it is certain.
 With a tokenizer file without a decoder the text is the tokens' strings joined by spaces, as the
@@ -41,9 +41,7 @@ MEMO, PAIRS, STATES = 120_000, 200_000, 50_000
 STEP, AHEAD = 512, 6
 #: Longer words pass the memo by.
 MEMO_CHARS = 200
-_SPACES = regex.compile(r"[\t-\r \x85\xa0  -     　]+")
 _NEVER = 1 << 60
-_ODD = regex.compile(r"[\x1c-\x1f]")
 
 
 def byte_alphabet() -> list[str]:
@@ -54,7 +52,7 @@ def byte_alphabet() -> list[str]:
 
 
 class _Ends(dict):
-    """Three symbols, or fewer, to the lengths of the tokens that end in them or are part of their end."""
+    """Three symbols, or fewer, to the lengths of the tokens that end in them or are part of their end, first the one that was right last time."""
 
     def __missing__(self, end: str) -> tuple[int, ...]:
         found = self[end[1:]] if len(end) > 1 else ()
@@ -62,6 +60,10 @@ class _Ends(dict):
             self[end] = found
         return found
 
+    def right(self, end: str, k: int) -> None:
+        if end in self:
+            self[end] = (k, *[x for x in self[end] if x != k])
+
 
 def _ends(tokens: set[str]) -> _Ends:
     lengths: dict[str, set[int]] = {}
@@ -82,30 +84,31 @@ class Bpe:
         self.end: str = model["end_of_word_suffix"] or ""
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.rank = {pair: i for i, pair in enumerate(pairs)}
-        self.bytes = str.maketrans({chr(b): c for b, c in enumerate(byte_alphabet())})
+        self.bytes = "".join(byte_alphabet())
         self.unbytes = {c: b for b, c in enumerate(byte_alphabet())}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.text = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
         self.specials = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         split = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.words = regex.compile(split)
+        self.words = regex.compile(regex.sub(r"\[(\\p\{\w+\})\]", r"\1", split))  # a class by itself is matched faster without brackets
         self.made = {a + b: (a, b, i) for (a, b), i in sorted(self.rank.items(), key=lambda x: -x[1])}  # the first merge that makes a token
         self.spines: tuple[dict, dict] = {}, {}
-        # tokens that encode to themselves, by whether they end a word; others are never output
-        self.inner, self.final = set(), set()
+        # tokens that encode to themselves, by whether they end a word; others are never output. For each, whether it and tokens before it stay
+        self.inner: dict[str, dict[str, bool]] = {}
+        self.final: dict[str, dict[str, bool]] = {}
+        self.borders = 0  # of which this is known
         for token in self.vocab:
             if token.endswith(self.end) and self.end and token != self.end:
                 if self.merge([*token[: -len(self.end) - 1], token[-len(self.end) - 1 :]]) == [token]:
-                    self.final.add(token)
+                    self.final[token] = {}
             elif self.merge(list(token)) == [token]:
-                self.inner.add(token)
+                self.inner[token] = {}
         self.longest = max(len(t.removesuffix(self.end)) for t in self.inner | self.final)
-        # lengths, descending, of the tokens that end in these symbols (three, or all of a shorter start); no other start needs a look
-        self.inner_ends, self.final_ends = _ends(self.inner), _ends({t[: -len(self.end)] if self.end else t for t in self.final})
+        # lengths of the tokens that end in these symbols (three, or all of a shorter start); no other start needs a look, and one alone is right
+        self.inner_ends, self.final_ends = _ends(set(self.inner)), _ends({t[: -len(self.end)] if self.end else t for t in self.final})
         self.lookahead = len(pairs) * self.longest
-        self.pairs: dict[tuple[str, str], bool] = {}
         self.states: dict[str, tuple[tuple, tuple]] = {}  # where the transducer stands after a word's first AHEAD symbols
-        self.written = {t: str(i) for t, i in self.vocab.items()}
+        self.written = {i: str(i) for i in self.text}
         self.memo = _Memo(self)
 
     def merge(self, symbols: list[str]) -> list[str]:
@@ -134,7 +137,8 @@ class Bpe:
 
         A list's merge only joins what earlier merges made, so merges apply by rank. Of equal ranks the left comes first.
         """
-        if (found := self.pairs.get((a, b))) is not None:
+        row = self.final[b] if b in self.final else self.inner[b]
+        if (found := row.get(a)) is not None:
             return found
         xs, ys, rank, i, j, found = self.spine(a, False), self.spine(b, True), self.rank, 0, 0, True
         while True:
@@ -148,9 +152,12 @@ class Bpe:
                 i += 1
             else:
                 j += 1
-        if len(self.pairs) > PAIRS:
-            self.pairs.clear()
-        self.pairs[a, b] = found
+        if self.borders >= PAIRS:
+            for known in chain(self.inner.values(), self.final.values()):
+                known.clear()
+            self.borders = 0
+        row[a] = found
+        self.borders += 1
         return found
 
     def transduce(self, pieces: Iterable[str]) -> Iterator[str]:
@@ -159,41 +166,47 @@ class Bpe:
 
     def runs(self, pieces: Iterable[str]) -> Iterator[list[str]]:
         """Those tokens, the ones that become stable together as one list."""
-        inner, stay, ends, known = self.inner, self.stay, self.inner_ends, self.pairs
-        # of the part that is open: its symbols, and for each prefix its last token and where that begins; base is the last token that has left
-        held, last, back, base = "", [""], [0], ""
+        inner, stay, ends = self.inner, self.stay, self.inner_ends
+        # of the part that is open: its symbols, and for each prefix its last token and where that begins; of the empty one the last token that has left
+        held, last, back = "", [""], [0]
         i, look = 0, STEP
         for piece in pieces:
             held += piece
-            if not i and len(held) > AHEAD and (state := self.states.get(held[:AHEAD])):
+            if not i and not last[0] and len(held) > AHEAD and (state := self.states.get(held[:AHEAD])):
                 i, last, back = AHEAD, [*state[0]], [*state[1]]
-            while i < len(held) - 1:  # the word's last symbol is another one, so one is held back
-                if i == AHEAD and not base and len(self.states) < STATES:
-                    self.states.setdefault(held[:AHEAD], ((*last,), (*back,)))
-                i += 1
-                for k in ends[held[i - 3 : i] if i > 3 else held[:i]]:
-                    if (start := i - k) < 0:
-                        continue
-                    token = held[start:i]
-                    if token in inner and (not (before := last[start] or base) or ((ok := known.get((before, token))) is None and stay(before, token)) or ok):
-                        last.append(token)
-                        back.append(start)
-                        break
-                if i >= look:
+            while i < (n := len(held) - 1):  # the word's last symbol is another one, so one is held back
+                fresh = i < AHEAD and not last[0]
+                for i in range(i + 1, min(n, AHEAD if fresh else look) + 1):
+                    for k in (tries := ends[end := held[i - 3 : i] if i > 3 else held[:i]]):
+                        if k > i:
+                            continue
+                        token = held[i - k : i]
+                        if token in inner and (known[before] if (before := last[i - k]) in (known := inner[token]) else stay(before, token)):
+                            last.append(token)
+                            back.append(i - k)
+                            if k != tries[0]:
+                                ends.right(end, k)
+                            break
+                if fresh:
+                    if i == AHEAD and len(self.states) < STATES:
+                        self.states[held[:AHEAD]] = (*last,), (*back,)
+                elif i >= look:
                     cut, tokens = self._stable(last, back, i)
                     if cut:
                         yield tokens
-                        base, held, last, back, i = last[cut], held[cut:], ["", *last[cut + 1 :]], [0, *(max(0, b - cut) for b in back[cut + 1 :])], i - cut
+                        held, last, back, i = held[cut:], last[cut:], [0, *(max(0, b - cut) for b in back[cut + 1 :])], i - cut
                     assert i <= self.lookahead
                     look = i + STEP
         if not held:
             return
-        n, final, end = len(held), self.final, self.end
-        for k in self.final_ends[held[n - 3 :] if n > 3 else held]:
+        n, final, ends = len(held), self.final, self.final_ends
+        for k in (tries := ends[end := held[n - 3 :] if n > 3 else held]):
             if (start := n - k) < 0:
                 continue
-            token = held[start:] + end
-            if token in final and (not (before := last[start] or base) or ((ok := known.get((before, token))) is None and stay(before, token)) or ok):
+            token = held[start:] + self.end
+            if token in final and (known[before] if (before := last[start]) in (known := final[token]) else stay(before, token)):
+                if k != tries[0]:
+                    ends.right(end, k)
                 break
         out = [token]
         while start:
@@ -215,22 +228,19 @@ class Bpe:
             at = back[at]
         return cut, tokens[::-1]
 
-    def split(self, piece: str) -> list[str]:
-        """The words of normalised text without white space. Letters alone are one word, before one mark two; else the file's pattern decides."""
-        if piece.isalpha():
-            return [piece]
-        if piece[-1] in ",.!?;:" and piece[:-1].isalpha():
-            return [piece[:-1], piece[-1]]
-        return self.words.findall(piece)
+    def split(self, segment: str) -> list[str]:
+        """The words of text between special tokens, normalised. Capital sigma is lowered by itself, not by its place in a word."""
+        if not segment.isascii():
+            segment = unicodedata.normalize("NFC", segment).replace("\u03a3", "\u03c3")
+        return self.words.findall(segment.lower())
 
     def tokens(self, word: str) -> list[str]:
         if not (word.isascii() and word.isprintable()):  # printable ASCII stands for itself
-            word = word.encode().decode("latin-1").translate(self.bytes)
-        return list(self.transduce((word,)))
-
-    def encode_piece(self, piece: str) -> list[int]:
-        """Ids of normalised text without white space."""
-        return [self.vocab[t] for w in self.split(piece) for t in self.tokens(w)]
+            word = codecs.charmap_decode(word.encode(), "strict", self.bytes)[0]
+        out: list[str] = []
+        for run in self.runs((word,)):
+            out += run
+        return out
 
     def segments(self, text: str) -> Iterator[tuple[str, bool]]:
         """Text between special tokens, and these."""
@@ -241,52 +251,35 @@ class Bpe:
             if part:
                 yield part, i % 2 == 1
 
-    def pieces(self, segment: str) -> list[str]:
-        """Normalised text, cut at white space. Capital sigma is lowered by itself, not by its place in a word."""
-        if not segment.isascii():
-            segment = unicodedata.normalize("NFC", segment).replace("\u03a3", "\u03c3")
-        segment = segment.lower()
-        return [x for x in _SPACES.split(segment) if x] if _ODD.search(segment) else segment.split()
-
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
         for segment, special in self.segments(text):
             if special:
                 out.append(self.special[segment])
             else:
-                for piece in self.pieces(segment):
-                    out += self.encode_piece(piece)
+                out += [self.vocab[t] for w in self.split(segment) for t in self.tokens(w)]
         return out
 
     def encoded(self, text: str) -> tuple[str, str]:
         """The ids and the decoded text, each joined by spaces, with the memo of words."""
-        ids, decoded, memo = [], [], self.memo
+        ids: list[int] = []
         for segment, special in self.segments(text):
             if special:
-                ids.append(str(self.special[segment]))
-                decoded.append(segment)
+                ids.append(self.special[segment])
             else:
-                found, known, split = [], memo.get, self.split
-                for piece in self.pieces(segment):
-                    if (hit := known(piece)) is not None:  # a word by itself
-                        found.append(hit)
-                    else:
-                        found += [memo[word] for word in split(piece)]
-                ids += [x for x, _ in found]
-                decoded += [x for _, x in found]
-        return " ".join(ids), " ".join(decoded)
+                ids += chain.from_iterable(map(self.memo.__getitem__, self.split(segment)))
+        return " ".join(map(self.written.__getitem__, ids)), Decoder(self).push_all(ids)
 
 
 class _Memo(dict):
-    """What the transducer gave for a word: its joined ids and what they decode to. The words of the last MEMO to 2 * MEMO different ones stay."""
+    """The ids that the transducer gave for a word. The words of the last MEMO to 2 * MEMO different ones stay."""
 
     def __init__(self, bpe: Bpe):
         self.bpe, self.old = bpe, {}
 
-    def __missing__(self, word: str) -> tuple[str, str]:
+    def __missing__(self, word: str) -> tuple[int, ...]:
         if (found := self.old.get(word)) is None:
-            tokens = self.bpe.tokens(word)
-            found = " ".join([self.bpe.written[t] for t in tokens]), Decoder(self.bpe).push_all([self.bpe.vocab[t] for t in tokens])
+            found = tuple(map(self.bpe.vocab.__getitem__, self.bpe.tokens(word)))
         if len(word) <= MEMO_CHARS:
             if len(self) >= MEMO:
                 self.old = dict(self)

@@ -33,6 +33,44 @@ def test_as_the_library(own, library):
         assert own.encoded(t) == (" ".join(map(str, e.ids)), library.decode(e.ids, skip_special_tokens=False)), t
 
 
+def test_known_words_cost_no_calls(own):
+    """What a text costs beyond its unknown words: no Python function is called for a word or a token."""
+    import sys
+
+    def calls(text):
+        own.encoded(text)
+        found = []
+        sys.setprofile(lambda frame, event, arg: found.append(frame.f_code.co_name) if event == "call" else None)
+        try:
+            own.encoded(text)
+        finally:
+            sys.setprofile(None)
+        return len(found)
+
+    assert calls("some words, with marks!! in it's text: " * 400) <= calls("some words")
+
+
+def test_one_end_is_tried_first(own):
+    """Of the tokens that may end a prefix, the one that was right last time is looked at first."""
+    looks = []
+    plain = own.inner
+
+    class Counted(dict):
+        def __contains__(self, token):
+            looks.append(token)
+            return dict.__contains__(self, token)
+
+    word = "thatthwhthanedeashshandthreedntinedering"
+    list(own.runs((word,)))
+    own.inner = Counted(plain)
+    own.states.clear()
+    try:
+        list(own.runs((word,)))
+    finally:
+        own.inner = plain
+    assert len(looks) <= 1.5 * len(word)
+
+
 def test_pieces_of_a_word_may_come_one_by_one(own):
     rng = random.Random(2)
     for n in (1, 2, 63, 64, 65, 700, 3000):
