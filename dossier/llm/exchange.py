@@ -45,7 +45,9 @@ def _chunk(sender: int, held: list[pa.RecordBatch]) -> pa.RecordBatch:
     table = pa.Table.from_batches(held)
     key, node, n = (table[c].to_numpy().astype(np.int64) for c in ("key", "node", "n"))
     sure, pos = table["sure"].to_numpy().astype(bool), table["pos"].to_numpy().astype(np.int32)
-    nodes, first, who = np.unique(node, return_index=True, return_inverse=True)
+    runs = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1])))  # a node's rows come side by side
+    nodes, first, who = np.unique(node[runs], return_index=True, return_inverse=True)
+    first, who = runs[first], np.repeat(who, np.diff(runs, append=len(node)))
     h = _hashes(key, sure)
     order = np.argsort(h)
     key, who, sure, pos, h = key[order], who[order], sure[order], pos[order], h[order]

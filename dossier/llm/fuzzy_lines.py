@@ -56,48 +56,56 @@ def name(line: str) -> int:
 def shingles(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all shingles of lines (none blank), and where each line's begin."""
     padded = [x if len(x) >= SHINGLE else x + "\0" * (SHINGLE - len(x)) for x in lines]
-    codes = np.frombuffer("".join(padded).encode("utf-32-le"), np.uint32).astype(np.uint64)
-    h, done = (codes + _U(1)) * _U(0x9E3779B97F4A7C15), 1
-    h ^= h >> _U(29)
-    while done < SHINGLE:
-        h = h[:-done] * _U(pow(0xD6E8FEB86659FD93, done, 1 << 64)) + h[done:]
-        done *= 2
-    h = mix(h)
-    lengths = np.array([len(x) for x in padded])
+    h, done = np.frombuffer("".join(padded).encode("utf-32-le"), np.uint32).astype(np.uint64), 1
+    lengths = np.fromiter(map(len, padded), np.int64, len(padded))
+    keep = np.ones(len(h), bool)
     ends = np.cumsum(lengths)
-    keep = np.ones(len(codes), bool)
     for back in range(1, SHINGLE):
         keep[ends - back] = False
-    return h[keep[: len(h)]], np.concatenate(([0], np.cumsum(lengths - SHINGLE + 1)))
+    h += _U(1)
+    h *= _U(0x9E3779B97F4A7C15)
+    aside = h >> _U(29)
+    h ^= aside
+    while done < SHINGLE:  # in two arrays, turn about
+        aside = np.multiply(h[:-done], _U(pow(0xD6E8FEB86659FD93, done, 1 << 64)), out=aside[: len(h) - done])
+        aside += h[done:]
+        h, aside = aside, h
+        done *= 2
+    return mix(h[keep[: len(h)]]), np.concatenate(([0], np.cumsum(lengths - SHINGLE + 1)))
 
 
 def signatures(hashes: np.ndarray, begins: np.ndarray) -> np.ndarray:
     """lines x (BANDS * ROWS): of each function, the least value of a line's shingles."""
     own = (hashes >> _U(32)).astype(np.uint32)
-    out = np.empty((len(_TURNS), len(begins) - 1), np.uint32)
+    out, turned = np.empty((len(_TURNS), len(begins) - 1), np.uint32), np.empty_like(own)
     for j, turn in enumerate(_TURNS):
-        out[j] = np.minimum.reduceat(own * turn, begins[:-1])
+        np.minimum.reduceat(np.multiply(own, turn, out=turned), begins[:-1], out=out[j])
     return out.T
 
 
 def sizes(hashes: np.ndarray, begins: np.ndarray) -> np.ndarray:
     """For each of fewer than 2**20 lines, how many different shingles it has, by 44 bits of them."""
-    line = np.repeat(np.arange(len(begins) - 1, dtype=np.uint64), np.diff(begins))
-    tagged = (line << _U(44)) | (hashes >> _U(20))
+    times = np.diff(begins)
+    tagged = np.repeat(np.arange(len(times), dtype=np.uint64) << _U(44), times)
+    tagged |= hashes >> _U(20)
     tagged.sort()
-    new = np.ones(len(tagged), bool)
-    new[1:] = tagged[1:] != tagged[:-1]
-    return np.bincount((tagged[new] >> _U(44)).astype(np.int64), minlength=len(begins) - 1)
+    again = tagged[1:][tagged[1:] == tagged[:-1]] >> _U(44)
+    return times - np.bincount(again.astype(np.int64), minlength=len(times))
 
 
 def line_sets(lines: list[str]) -> list[np.ndarray]:
     """Each line's different shingles, ascending."""
     hashes, begins = shingles(lines)
-    out = []
+    if not len(hashes):
+        return []
     for a, b in itertools.pairwise(begins.tolist()):
-        members = np.sort(hashes[a:b])
-        out.append(members[np.concatenate(([True], members[1:] != members[:-1]))])
-    return out
+        hashes[a:b].sort()
+    new = np.ones(len(hashes), bool)
+    new[1:] = hashes[1:] != hashes[:-1]
+    new[begins[:-1]] = True
+    ends = np.cumsum(np.add.reduceat(new, begins[:-1], dtype=np.int64)).tolist()
+    members = hashes[new]
+    return [members[a:b] for a, b in itertools.pairwise([0, *ends])]
 
 
 def _distinct(batch: pa.RecordBatch) -> Iterator[list[str]]:
@@ -185,8 +193,8 @@ def _fitting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = batch.slice(at, 256)
             lines: dict[str, int] = {}
             pairs, size = [], 0
-            for a, b in zip(part["sa"], part["sb"], strict=True):
-                for line in (a := a.as_py(), b := b.as_py()):
+            for a, b in zip(part["sa"].to_pylist(), part["sb"].to_pylist(), strict=True):
+                for line in (a, b):
                     if line not in lines:
                         lines[line] = len(lines)
                         size += len(line)

@@ -72,9 +72,13 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> _U(33))) * _U(0xFF51AFD7ED558CCD)
-    h = (h ^ (h >> _U(33))) * _U(0xC4CEB9FE1A85EC53)
-    return h ^ (h >> _U(33))
+    aside = h >> _U(33)
+    h = h ^ aside
+    h *= _U(0xFF51AFD7ED558CCD)
+    h ^= np.right_shift(h, _U(33), out=aside)
+    h *= _U(0xC4CEB9FE1A85EC53)
+    h ^= np.right_shift(h, _U(33), out=aside)
+    return h
 
 
 def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:

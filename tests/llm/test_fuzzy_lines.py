@@ -104,3 +104,30 @@ def test_rows_of_one_id_keep_their_own_lines(spark):
     rows = [(1, "a line that two documents have in common\nmy own important first line", "x"), (1, "my own important first line, of another text", "y"), (0, "a line that two documents have in common", "z")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, gone string")
     assert {(r["text"], r["gone"]) for r in f.without_duplicates(docs).collect()} == {("my own important first line", "x"), (rows[1][1], "y"), (rows[2][1], "z")}
+
+
+def test_a_chunk_sorts_each_node_once(monkeypatch):
+    """A line's rows come side by side: its node is sorted once for them, not once for each band."""
+    import numpy as np
+    import pyarrow as pa
+
+    from dossier.llm import exchange
+
+    sorted_, unique = [], np.unique
+    monkeypatch.setattr(exchange.np, "unique", lambda x, **more: sorted_.append(len(x)) or unique(x, **more))
+    lines = [f"line {i % 40} of the forty different ones" for i in range(50)]
+    out = next(f._bands(iter([pa.RecordBatch.from_arrays([pa.array(lines)], names=["text"])])))
+    chunk = exchange._chunk(0, [out])
+    assert sorted_ == [40]
+    who, node, n = (np.frombuffer(chunk[c][0].as_py(), t) for c, t in (("who", np.int32), ("node", np.int64), ("n", np.int64)))
+    key = np.frombuffer(chunk["key"][0].as_py(), np.int64)
+    want = set(zip(*(out[c].to_pylist() for c in ("key", "node", "n")), strict=True))
+    assert set(zip(key.tolist(), node[who].tolist(), n[who].tolist(), strict=True)) == want
+
+
+def test_sizes_and_sets_of_lines_with_repeats():
+    lines = ["ab" * 30, "x" * 500, "short", "each shingle of this one is another", "x" * 500 + "y"]
+    want = [len({x[i : i + f.SHINGLE] for i in range(max(1, len(x) - f.SHINGLE + 1))}) for x in lines]
+    assert f.sizes(*f.shingles(lines)).tolist() == want == [len(m) for m in f.line_sets(lines)]
+    assert all(m.tolist() == sorted(set(m.tolist())) for m in f.line_sets(lines))
+    assert f.line_sets([]) == []
