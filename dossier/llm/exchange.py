@@ -53,7 +53,8 @@ def _chunk(sender: int, held: list[pa.RecordBatch]) -> pa.RecordBatch:
     key, who, sure, pos, h = key[order], who[order], sure[order], pos[order], h[order]
     new = np.ones(len(key), bool)  # copies that don't lie side by side stay
     new[1:] = (h[1:] != h[:-1]) | (key[1:] != key[:-1]) | (who[1:] != who[:-1]) | (sure[1:] != sure[:-1])
-    columns = [pa.array([x.tobytes()], pa.binary()) for x in (key[new], who[new].astype(np.int32), sure[new], pos[new], nodes, n[first])]
+    columns = [pa.array([x.tobytes() if x.any() else b""], pa.binary()) for x in (sure[new], pos[new])]  # all zero, they aren't written
+    columns = [pa.array([x.tobytes()], pa.binary()) for x in (key[new], who[new].astype(np.int32))] + columns + [pa.array([x.tobytes()], pa.binary()) for x in (nodes, n[first])]
     return pa.RecordBatch.from_arrays([pa.array([sender], pa.int64()), pa.array([int(new.sum())], pa.int64()), *columns], names=["sender", "size", "key", "who", "sure", "pos", "node", "n"])
 
 
@@ -74,9 +75,15 @@ def _pack(rows: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
     return pack
 
 
+def _filled(raw: bytes, kind: type, size: int) -> np.ndarray:
+    """A chunk's column that isn't written where it is all zero."""
+    return np.frombuffer(raw, kind) if raw else np.zeros(size, kind)
+
+
 def _different(key: bytes, sure: bytes, who: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A chunk's different hashes, ascending, which of them each row has, and whether several nodes have it."""
-    h, of = _hashes(np.frombuffer(key, np.int64), np.frombuffer(sure, bool)), np.frombuffer(who, np.int32)
+    of = np.frombuffer(who, np.int32)
+    h = _hashes(np.frombuffer(key, np.int64), _filled(sure, bool, len(of)))
     new = np.ones(len(h), bool)
     new[1:] = h[1:] != h[:-1]
     starts = np.flatnonzero(new)
@@ -125,12 +132,13 @@ def _let_go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(batch.num_rows):
             key, sure, own = (batch[c][i].as_py() for c in ("key", "sure", "who"))
-            who, pos, node, n = (np.frombuffer(batch[c][i].as_py(), t) for c, t in (("who", np.int32), ("pos", np.int32), ("node", np.int64), ("n", np.int64)))
+            who, node, n = (np.frombuffer(batch[c][i].as_py(), t) for c, t in (("who", np.int32), ("node", np.int64), ("n", np.int64)))
+            pos = _filled(batch["pos"][i].as_py(), np.int32, len(who))
             _, of, several = _different(key, sure, own)
             replies = sorted(batch["replies"][i].as_py(), key=lambda r: r["owner"])
             marked = np.concatenate([np.unpackbits(np.frombuffer(r["bits"], np.uint8))[: r["n_sent"]] for r in replies]).astype(bool)
             go = (marked | several)[of]
-            columns = [np.frombuffer(key, np.int64)[go], node[who[go]], n[who[go]], np.frombuffer(sure, bool)[go], pos[go]]
+            columns = [np.frombuffer(key, np.int64)[go], node[who[go]], n[who[go]], _filled(sure, bool, len(who))[go], pos[go]]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["key", "node", "n", "sure", "pos"])
 
 

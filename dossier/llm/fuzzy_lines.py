@@ -161,28 +161,32 @@ def _first(sketch):
     return first
 
 
-def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, doc_id, row, line) of all lines, and for each row one with line -1 and its number of lines as node."""
-    for batch in batches:
-        node, take, at = [], [], []
-        for row, text in enumerate(batch["text"].to_pylist()):
-            own = [(name(x), i) for i, x in enumerate(lines_of(text)) if x]
-            node += [len(own), *(x for x, _ in own)]
-            at += [-1, *(i for _, i in own)]
-            take += [row] * (len(own) + 1)
-        take = pa.array(take, pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), batch["doc_id"].take(take), batch["row"].take(take), pa.array(at, pa.int64())], names=["node", "doc_id", "row", "line"])
-
-
-def _named(bits):
-    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(node, members) of a batch's different lines that pass the filter; the line itself stands for its shingles."""
-        for lines in (x for batch in batches for x in _distinct(batch)):
-            nodes = np.array([name(x) for x in lines], np.int64)
-            known = passes(bits.value, nodes.view(np.uint64)) if len(nodes) else np.zeros(0, bool)
-            yield pa.RecordBatch.from_arrays([pa.array(nodes[known]), pa.array([x for x, k in zip(lines, known, strict=True) if k], pa.string())], names=["node", "members"])
+def _places(bits):
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(node, doc_id, row, line, members) of all lines, and for each row one with line -1 and its number of lines as node.
 
-    return named
+        members: at the first of a batch's equal lines the line itself, which stands for its shingles, if it passes the filter.
+        """
+        for batch in batches:
+            node, take, at, lines = [], [], [], []
+            names: dict[str, int] = {}
+            for row, text in enumerate(batch["text"].to_pylist()):
+                head = len(node)
+                for line, i in [(None, -1), *((x, i) for i, x in enumerate(lines_of(text)) if x)]:
+                    new = line and line not in names
+                    if new:
+                        names[line] = name(line)
+                    node.append(names[line] if line else 0)
+                    at.append(i)
+                    lines.append(line if new else None)
+                node[head] = len(node) - head - 1
+                take += [row] * (len(node) - head)
+            node = np.array(node, np.int64)
+            known = passes(bits.value, node.view(np.uint64)).tolist()
+            take, members = pa.array(take, pa.int64()), pa.array([x if k else None for x, k in zip(lines, known, strict=True)], pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(node), batch["doc_id"].take(take), batch["row"].take(take), pa.array(at, pa.int64()), members], names=["node", "doc_id", "row", "line", "members"])
+
+    return places
 
 
 def _fitting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,7 +219,8 @@ def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     nodes = materialize(listed.select("node").distinct(), "wanted")
     bits = spark.sparkContext.broadcast(hash_filter(nodes, "node"))
-    named = slim.select("text").mapInArrow(_named(bits), "node long, members string")
+    places = materialize(slim.mapInArrow(_places(bits), "node long, doc_id long, row long, line long, members string"), "places")
+    named = places.where("members IS NOT NULL").select("node", "members")
     known = materialize(named.join(bounded(nodes), "node", "left_semi").groupBy("node").agg(F.min("members").alias("members")), "lines")
 
     def fetch(wanted: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
@@ -233,7 +238,6 @@ def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     found = materialize(components(edges).select(F.col("id").alias("node"), F.col("root").alias("component")), "found")
     release(nodes, known)
 
-    places = materialize(slim.mapInArrow(_places, "node long, doc_id long, row long, line long"), "places")
     lines = places.where("line >= 0").select("node", "doc_id", "row", "line")
     nodes = lines.groupBy("node").agg(F.count("*").alias("c"), F.min("doc_id").alias("doc")).join(found, "node", "left").where("c > 1 OR component IS NOT NULL")
     nodes = materialize(nodes.select("node", F.coalesce("component", "node").alias("component"), "doc"), "nodes")

@@ -131,3 +131,48 @@ def test_sizes_and_sets_of_lines_with_repeats():
     assert f.sizes(*f.shingles(lines)).tolist() == want == [len(m) for m in f.line_sets(lines)]
     assert all(m.tolist() == sorted(set(m.tolist())) for m in f.line_sets(lines))
     assert f.line_sets([]) == []
+
+
+def test_texts_are_read_twice(spark, docs, rows, monkeypatch):
+    """Once for the bands, once for the places, which bring the listed lines along."""
+    kind, read = type(docs), []
+    run = kind.mapInArrow
+    monkeypatch.setattr(kind, "mapInArrow", lambda self, function, schema: read.append("text" in self.columns) or run(self, function, schema))
+    out = f.duplicates(docs).collect()
+    assert sum(read) == 2
+    assert len(out) == len(rows)
+
+
+def test_places_bring_each_listed_line_once_a_batch():
+    import types
+
+    import numpy as np
+    import pyarrow as pa
+
+    texts = ["first\nsecond\n\nfirst", None, "second\nthird"]
+    bits = np.zeros(f.passes.__globals__["FILTER"] // 64, np.uint64)
+    for line in ("first", "second"):
+        slot = f.name(line) & f.passes.__globals__["FILTER"] - 1
+        bits[slot // 64] |= np.uint64(1 << slot % 64)
+    batch = pa.RecordBatch.from_arrays([pa.array([7, 8, 9]), pa.array(texts), pa.array([70, 80, 90])], names=["doc_id", "text", "row"])
+    out = next(f._places(types.SimpleNamespace(value=bits.tobytes()))(iter([batch])))
+    one, two, three = map(f.name, ("first", "second", "third"))
+    assert list(zip(*(out[c].to_pylist() for c in out.schema.names), strict=True)) == [
+        (3, 7, 70, -1, None), (one, 7, 70, 0, "first"), (two, 7, 70, 1, "second"), (one, 7, 70, 3, None),
+        (0, 8, 80, -1, None), (2, 9, 90, -1, None), (two, 9, 90, 0, None), (three, 9, 90, 1, None),
+    ]
+
+
+def test_zero_columns_of_a_chunk_are_not_written():
+    import pyarrow as pa
+
+    from dossier.llm import exchange
+
+    lines = [f"line {i} of several" for i in range(9)]
+    chunk = exchange._chunk(0, list(f._bands(iter([pa.RecordBatch.from_arrays([pa.array(lines)], names=["text"])]))))
+    assert chunk["sure"][0].as_py() == chunk["pos"][0].as_py() == b""
+    sent = len(exchange._different(*(chunk[c][0].as_py() for c in ("key", "sure", "who")))[0])
+    marks = pa.array([[{"owner": 0, "n_sent": sent, "bits": b"\xff" * sent}]])
+    out = next(exchange._let_go(iter([pa.RecordBatch.from_arrays([*chunk.columns, marks], names=[*chunk.schema.names, "replies"])])))
+    assert len(out) == chunk["size"][0].as_py()
+    assert not any(out["sure"].to_pylist()) and not any(out["pos"].to_pylist())

@@ -53,3 +53,25 @@ def test_ingest_replay_changes_nothing(spark, tmp_path):
         ingest(stream, str(tmp_path / "log"), "k", str(tmp_path / checkpoint)).awaitTermination()
     assert {(r.k, r.v) for r in spark.read.parquet(str(tmp_path / "log")).collect()} == {("a", 1), ("b", 2)}
     assert spark.read.parquet(str(tmp_path / "log")).count() == 2
+
+
+def test_few_links_take_no_rounds(spark, monkeypatch):
+    """Links that one task's forest holds are written twice, however long their chains are; the rounds give the same."""
+    import random
+
+    from dossier.operators import components as c
+
+    rng = random.Random(8)
+    pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(i + 1, i) for i in range(1_000, 1_040)]
+    links = spark.createDataFrame(pairs, "a long, b long").repartition(5)
+    root = {}
+    for a, b in pairs:
+        a, b = root.setdefault(a, a), root.setdefault(b, b)
+        root |= {x: min(a, b) for x, r in root.items() if r in (a, b)}
+    written, write = [], c.materialize
+    monkeypatch.setattr(c, "materialize", lambda df, name: written.append(name) or write(df, name))
+    assert {tuple(r) for r in components(links).collect()} == set(root.items())
+    assert written == ["edges"] * 2
+    monkeypatch.setattr(c, "LINKS", 0)
+    assert {tuple(r) for r in components(links).collect()} == set(root.items())
+    assert len(written) > 4
